@@ -42,10 +42,11 @@ def split_null_flow_ids(df: DataFrame, flow_id: str = "Flow ID") -> tuple[DataFr
 
 def _gap_clusters(buckets: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
     """Number the clusters of each key over its bucket summaries (first one is 1)."""
-    w = Window.partitionBy(*[_q(k) for k in keys]).orderBy(_BUCKET)
-    gap = F.col(_LOW) - F.lag(_HIGH).over(w)
-    starts = (gap.isNull() | (gap > cutoff)).cast("long")
-    return buckets.withColumn("_starts", starts).withColumn("_cluster", F.sum("_starts").over(w)).drop("_starts")
+    w = Window.partitionBy(*[_q(k) for k in keys]).orderBy(_BUCKET, _LOW)
+    ended = F.max(_HIGH).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = (ended.isNull() | (F.col(_LOW) - ended > cutoff)).cast("long")
+    running = F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return buckets.withColumn("_starts", starts).withColumn("_cluster", running).drop("_starts")
 
 
 def _bucket_of(ts: str, cutoff: float) -> Column:
@@ -57,7 +58,7 @@ def assign_logical_flow(
     keys: Sequence[str] = ("source_file", "Flow ID"),
     ts: str = "ts",
     cutoff: float = S.GAP_SECONDS,
-    tie: Sequence[str] = (),
+    tie: str | None = None,
     cluster: str = "cluster",
 ) -> DataFrame:
     """Add the cluster number of every segment: a new one on the first segment of a key and
@@ -79,7 +80,7 @@ def assign_logical_flow(
 
 def _untimed_clusters(untimed, clusters, keys, tie):
     last = clusters.groupBy(*[_q(k) for k in keys]).agg(F.max("_cluster").alias("_last"))
-    order = list(tie) or [F.xxhash64(*[_q(c) for c in untimed.columns])]
+    order = [_q(tie) if tie else F.xxhash64(*[_q(c) for c in untimed.columns])]
     numbered = number_rows(untimed, keys, order, "_n")
     return numbered.join(last, keys, "left").withColumn(
         "_cluster", F.col("_n") + F.coalesce("_last", F.lit(0))
@@ -91,14 +92,28 @@ def logical_flow_id(source_file: Column, flow_id: Column, cluster: Column) -> Co
 
 
 class RuleAggregates:
-    """The aggregate expressions of a rule set: partial states, their merge, final columns."""
+    """The aggregate expressions of a rule set: partial states, their merge, final columns.
 
-    def __init__(self, rules: FlowRules, ts: str = "ts", tie: Sequence[str] = ()):
-        self.rules, self.ts, self.tie = rules, ts, list(tie)
+    States are numbers, so the first step runs as a hash aggregate. The order of a row in
+    time is one decimal, ``ts * 10^19 + tie``; ``tie`` is a non-negative long.
+    """
+
+    def __init__(self, rules: FlowRules, ts: str = "ts", tie: str | None = None):
+        self.rules, self.ts, self.tie = rules, ts, tie
 
     def _value(self, name: str) -> Column:
         return F.expr(self.rules.derived[name]) if name in self.rules.derived else _q(name)
 
+    def _order(self) -> Column:
+        ts = F.coalesce(_q(self.ts), F.lit(0)).cast("decimal(19,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+        tie = _q(self.tie).cast("decimal(19,0)") if self.tie else F.lit(0).cast("decimal(19,0)")
+        return (ts.cast("decimal(38,0)") + tie).cast("decimal(38,0)")
+
+    def _firsts(self, identity: bool) -> dict[str, tuple[Column, Column]]:
+        """Column -> (value, order of the rows where it is not null)."""
+        cols = [*self.rules.first, *(self.rules.identity if identity else ())]
+        return {c: (_q(c), F.when(_q(c).isNotNull(), self._order())) for c in cols}
+
     def _states(self) -> dict[str, tuple[Column, str]]:
         """Partial state name -> (row expression, merge function)."""
         r, num = self.rules, lambda n: self._value(n).cast("double")
@@ -107,10 +122,6 @@ class RuleAggregates:
             "_ts_first": (_q(self.ts), "min"),
             "_ts_last": (_q(self.ts), "max"),
         }
-        order = [_q(self.ts).isNull(), _q(self.ts), *[_q(t) for t in self.tie]]
-        for c in r.first:
-            fields = [o.alias(f"o{i}") for i, o in enumerate(order)] + [_q(c).alias("v")]
-            states[f"_first_{c}"] = (F.when(_q(c).isNotNull(), F.struct(*fields)), "min")
         for c in r.sums:
             states[f"_sum_{c}"] = (self._value(c), "sum")
         for c in r.maxima:
@@ -132,15 +143,28 @@ class RuleAggregates:
             states[f"_total_{c}"] = (num(c), "sum")
         return states
 
-    def partial(self) -> list[Column]:
-        return [getattr(F, how)(e).alias(name) for name, (e, how) in self._states().items()]
+    def partial(self, identity: bool = True) -> list[Column]:
+        """First step; without ``identity`` those columns are grouping keys of the step."""
+        out = [getattr(F, how)(e).alias(name) for name, (e, how) in self._states().items()]
+        for c, (value, order) in self._firsts(identity).items():
+            out += [F.min(order).alias(f"_order_{c}"), F.min_by(value, order).alias(f"_first_{c}")]
+        if not identity and self.rules.identity:
+            out.append(F.min(self._order()).alias("_order"))
+        return out
 
     def merge(self) -> list[Column]:
-        return [getattr(F, how)(_q(name)).alias(name) for name, (_, how) in self._states().items()]
+        """Second step, over rows of ``partial(identity=False)``."""
+        out = [getattr(F, how)(_q(name)).alias(name) for name, (_, how) in self._states().items()]
+        out += [F.min_by(_q(f"_first_{c}"), _q(f"_order_{c}")).alias(f"_first_{c}") for c in self.rules.first]
+        out += [
+            F.min_by(_q(c), F.when(_q(c).isNotNull(), F.col("_order"))).alias(f"_first_{c}")
+            for c in self.rules.identity
+        ]
+        return out
 
     def finish(self) -> list[Column]:
         r = self.rules
-        out = [_q(f"_first_{c}")["v"].alias(c) for c in r.first]
+        out = [_q(f"_first_{c}").alias(c) for c in (*r.identity, *r.first)]
         out += [_q("_segments").alias("SegmentCount"), _q("_ts_first").alias("ts_first"), _q("_ts_last").alias("ts_last")]
         for kind, cols in (("sum", r.sums), ("max", r.maxima), ("min", r.minima)):
             out += [_q(f"_{kind}_{c}").alias(c) for c in cols]
@@ -167,7 +191,7 @@ class RuleAggregates:
 
 
 def aggregate_flows(
-    df: DataFrame, by: Sequence[str], rules: FlowRules, ts: str = "ts", tie: Sequence[str] = ()
+    df: DataFrame, by: Sequence[str], rules: FlowRules, ts: str = "ts", tie: str | None = None
 ) -> DataFrame:
     """One row per logical flow from segments that already carry their cluster."""
     a = RuleAggregates(rules, ts, tie)
@@ -180,7 +204,7 @@ def build_unified_flows(
     keys: Sequence[str] = ("source_file", "Flow ID"),
     ts: str = "ts",
     cutoff: float = S.GAP_SECONDS,
-    tie: Sequence[str] = (),
+    tie: str | None = None,
     logical_id: str = "LogicalFlowID",
 ) -> DataFrame:
     """Segments of all captures to logical flows: cluster and aggregate in one go.
@@ -189,7 +213,8 @@ def build_unified_flows(
     """
     keys, a = list(keys), RuleAggregates(rules, ts, tie)
     timed = df.where(_q(ts).isNotNull()).withColumn(_BUCKET, _bucket_of(ts, cutoff))
-    summaries = timed.groupBy(*[_q(k) for k in keys], _BUCKET).agg(*a.partial())
+    constant = [_q(c) for c in rules.identity if c not in keys]
+    summaries = timed.groupBy(*[_q(k) for k in keys], *constant, _BUCKET).agg(*a.partial(identity=False))
     summaries = summaries.withColumn(_LOW, _q("_ts_first")).withColumn(_HIGH, _q("_ts_last"))
     clusters = _gap_clusters(summaries, keys, cutoff)
     merged = clusters.groupBy(*[_q(k) for k in keys], "_cluster").agg(*a.merge())
@@ -197,7 +222,8 @@ def build_unified_flows(
     if not untimed.isEmpty():
         spans = clusters.select(*[_q(k) for k in keys], "_cluster")
         own = _untimed_clusters(untimed, spans, keys, tie)
-        merged = merged.unionByName(own.groupBy(*[_q(k) for k in keys], "_cluster").agg(*a.partial()))
+        single = own.groupBy(*[_q(k) for k in keys], *constant, "_cluster").agg(*a.partial(identity=False))
+        merged = merged.unionByName(single.groupBy(*[_q(k) for k in keys], "_cluster").agg(*a.merge()))
     return merged.select(
         *[_q(k) for k in keys],
         *a.finish(),

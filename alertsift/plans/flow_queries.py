@@ -14,7 +14,7 @@ _BY = [*_KEYS, "cluster"]
 
 
 def _assigned(spark, sf_dir):
-    return flows.assign_logical_flow(V.segments(spark, sf_dir), _KEYS, "ts", V.FLOW_CUTOFF, V.ROW_ID)
+    return flows.assign_logical_flow(V.segments(spark, sf_dir), _KEYS, "ts", V.FLOW_CUTOFF, V.TIE)
 
 
 def _lfid():
@@ -22,7 +22,7 @@ def _lfid():
 
 
 def _rule_query(spark, sf_dir, rules: FlowRules, *columns):
-    df = flows.aggregate_flows(_assigned(spark, sf_dir), _BY, rules, "ts", V.ROW_ID)
+    df = flows.aggregate_flows(_assigned(spark, sf_dir), _BY, rules, "ts", V.TIE)
     return df.select(_lfid(), *columns)
 
 
@@ -71,7 +71,7 @@ def f3(spark, sf_dir):
 
 @query("f4_first_non_null", f"{V.WITH_FLOWS} SELECT lfid, src_ip, dst_port, init_win FROM fl")
 def f4(spark, sf_dir):
-    rules = FlowRules(first=["src_ip", "dst_port", "init_win"])
+    rules = FlowRules(identity=["src_ip", "dst_port"], first=["init_win"])
     return _rule_query(spark, sf_dir, rules, "src_ip", "dst_port", "init_win")
 
 
@@ -120,7 +120,7 @@ def _all_columns(df):
 
 @query("f9_aggregate_flows", _FLOW_SQL)
 def f9(spark, sf_dir):
-    df = flows.aggregate_flows(_assigned(spark, sf_dir), _BY, V.SEGMENT_RULES, "ts", V.ROW_ID)
+    df = flows.aggregate_flows(_assigned(spark, sf_dir), _BY, V.SEGMENT_RULES, "ts", V.TIE)
     return _all_columns(df.withColumn("lfid", _lfid()))
 
 
@@ -148,18 +148,18 @@ def flows_by_label(spark, sf_dir):
 @query(
     "f11_aggregate_by_name",
     f"""{V.BASE} SELECT flow_id, min(src_ip) AS src_ip,
-    arg_min(label, struct_pack(a := ts, b := l_orderkey, c := l_linenumber, d := l_partkey, e := l_suppkey, f := l_extendedprice)) AS label,
+    arg_min(label, struct_pack(a := ts, b := segment_no)) AS label,
     {r('avg(init_win)', 4)} AS "init win", {r('max(len_max)', 4)} AS "len max", {r('min(len_min)', 4)} AS "len min",
     {r('avg(len_mean)', 4)} AS "len mean", {r('avg(len_std)', 4)} AS "len std", CAST(sum(fwd_pkts) AS BIGINT) AS "fwd pkts",
     {r('avg(duration_us)', 4)} AS duration FROM seg GROUP BY flow_id""",
 )
 def f11(spark, sf_dir):
     s = V.segments(spark, sf_dir).select(
-        "flow_id", "src_ip", "label", "ts", *V.ROW_ID, F.col("init_win").alias("init win"),
+        "flow_id", "src_ip", "label", "ts", V.TIE, F.col("init_win").alias("init win"),
         F.col("len_max").alias("len max"), F.col("len_min").alias("len min"), F.col("len_mean").alias("len mean"),
         F.col("len_std").alias("len std"), F.col("fwd_pkts").alias("fwd pkts"), F.col("duration_us").alias("duration"),
     )
-    out = flows.aggregate_by_name(s, "flow_id", ["src_ip"], ["ts", *V.ROW_ID])
+    out = flows.aggregate_by_name(s, "flow_id", ["src_ip"], ["ts", V.TIE])
     return out.select(
         "flow_id", "src_ip", "label", rounded("init win"), rounded("len max"), rounded("len min"),
         rounded("len mean"), rounded("len std"), "fwd pkts", rounded("duration"),

@@ -288,6 +288,6 @@ def g14(spark, sf_dir):
 )
 def g15(spark, sf_dir):
     return checks.flow_integrity(
-        V.segments(spark, sf_dir), V.SEGMENT_RULES, ("source_file", "flow_id"), V.FLOW_CUTOFF, V.ROW_ID,
+        V.segments(spark, sf_dir), V.SEGMENT_RULES, ("source_file", "flow_id"), V.FLOW_CUTOFF, V.TIE,
         "fwd_bytes", "len_mean", "duration_us", "len_std",
     )

@@ -15,10 +15,11 @@ from ..operators import flows
 from ..schema import FlowRules
 
 FLOW_CUTOFF = 2_592_000
-ROW_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+TIE = "segment_no"
 
 SEGMENT_RULES = FlowRules(
-    first=["label", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "init_win"],
+    identity=["label", "src_ip", "src_port", "dst_ip", "dst_port", "protocol"],
+    first=["init_win"],
     sums=["fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", "duration_us"],
     maxima=["len_max"],
     minima=["len_min"],
@@ -55,9 +56,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     day_s = F.floor(flows.epoch_micros(F.col("l_shipdate")) / 1_000_000)
     size = F.when(F.col("l_orderkey") % 13 != 0, F.col("l_extendedprice") / F.col("l_quantity"))
     df = table(spark, sf_dir, "lineitem").select(
-        *ROW_ID,
-        "l_discount",
-        "l_tax",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax",
+        (((F.col("l_orderkey") * 8 + line) * 131072 + part) * 8192 + supp).alias(TIE),
         capture.alias("source_file"),
         F.concat(F.lit("10.0.0."), text(F.when(line <= 2, supp % 5).otherwise(supp))).alias("src_ip"),
         F.concat(F.lit("10.1.0."), text(F.when(line <= 2, part % 4).otherwise(part))).alias("dst_ip"),
@@ -89,7 +89,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.col("l_orderkey") % 2 == 1
     pick = lambda a, b: F.when(odd, F.col(b)).otherwise(F.col(a))
     return s.select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ROW_ID[:4]], F.col("fwd_bytes").cast("string")).alias("packet_id"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("fwd_bytes").cast("string")).alias("packet_id"),
         F.when(F.col("l_orderkey") % 29 != 0, pick("src_ip", "dst_ip")).alias("src_ip"),
         F.when(F.col("l_orderkey") % 31 == 0, "172.16.0.9").otherwise(pick("dst_ip", "src_ip")).alias("dst_ip"),
         pick("src_port", "dst_port").alias("src_port"),
@@ -105,7 +105,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unified_flows(spark: SparkSession, sf_dir: str, cutoff: int = FLOW_CUTOFF) -> DataFrame:
     return flows.build_unified_flows(
-        segments(spark, sf_dir), SEGMENT_RULES, ("source_file", "flow_id"), "ts", cutoff, ROW_ID, "lfid"
+        segments(spark, sf_dir), SEGMENT_RULES, ("source_file", "flow_id"), "ts", cutoff, TIE, "lfid"
     )
 
 
@@ -117,6 +117,7 @@ LABEL_SQL = """CASE WHEN source_file LIKE 'Benign%' THEN 'benign'
   WHEN contains(source_file, 'BruteForce') THEN 'brute_force' ELSE 'Unknown Attack' END"""
 
 SEGMENTS_SQL = f"""seg0 AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax,
+  ((l_orderkey * 8 + l_linenumber) * 131072 + l_partkey) * 8192 + l_suppkey AS segment_no,
   CASE l_orderkey % 8 WHEN 0 THEN 'BenignTraffic' WHEN 1 THEN 'BenignTraffic1' WHEN 2 THEN 'BenignTraffic2'
     WHEN 3 THEN 'DDoS-HTTP_Flood-' WHEN 4 THEN 'DoS-HTTP_Flood' WHEN 5 THEN 'DNS_Spoofing' WHEN 6 THEN 'XSS'
     ELSE 'DictionaryBruteForce' END || '.pcap_Flow.csv' AS source_file,
@@ -156,7 +157,7 @@ clus AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {cutoff} THEN 1 ELSE 0 END
   OVER (PARTITION BY source_file, flow_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS cluster FROM lagged)"""
 
 
-_TIE = "struct_pack(a := ts, b := l_orderkey, c := l_linenumber, d := l_partkey, e := l_suppkey, f := l_extendedprice)"
+_TIE = "struct_pack(a := ts, b := segment_no)"
 _POOLED = """sqrt(coalesce(greatest(CASE WHEN sum(p) > 1 THEN
   (sum(greatest(p - 1, 0) * len_std * len_std) + sum(p * coalesce(len_mean, 0) * coalesce(len_mean, 0))
    - sum(p * coalesce(len_mean, 0)) * sum(p * coalesce(len_mean, 0)) / nullif(sum(p), 0)) / (sum(p) - 1) END, 0), 0))"""

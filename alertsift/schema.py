@@ -68,9 +68,12 @@ class FlowRules:
     ``weighted`` maps a mean to its weight, ``pooled`` a standard deviation to its
     (mean, count), ``squared`` a variance to the pooled deviation it is the square of, and
     ``rates`` a per-second rate to its numerator. ``derived`` holds SQL for the columns
-    that weights and numerators refer to.
+    that weights and numerators refer to. ``identity`` and ``first`` columns keep their
+    first non-null value: identity columns hardly vary within a Flow ID, so they serve as
+    grouping keys of the first aggregation step; ``first`` columns vary and are numeric.
     """
 
+    identity: list[str] = field(default_factory=list)
     first: list[str] = field(default_factory=list)
     sums: list[str] = field(default_factory=list)
     maxima: list[str] = field(default_factory=list)
@@ -89,10 +92,8 @@ FLOW_METADATA = ["Flow ID", "Src IP", "Src Port", "Dst IP", "Dst Port", "Protoco
 
 # Aggregation rule of every flow statistic.
 CAPTURE_RULES = FlowRules(
-    first=[
-        "label", "Src IP", "Src Port", "Dst IP", "Dst Port", "Protocol",
-        "FWD Init Win Bytes", "Bwd Init Win Bytes",
-    ],
+    identity=["label", "Src IP", "Src Port", "Dst IP", "Dst Port", "Protocol"],
+    first=["FWD Init Win Bytes", "Bwd Init Win Bytes"],
     sums=[
         "Flow Duration", "Total Fwd Packet", "Total Bwd packets",
         "Total Length of Fwd Packet", "Total Length of Bwd Packet",
@@ -160,8 +161,7 @@ FORBIDDEN_FEATURES = [
 
 def behaviour_numeric(rules: FlowRules = CAPTURE_RULES) -> list[str]:
     """Numeric columns of the behaviour-only matrix, in matrix order."""
-    setup = [c for c in rules.first if "Init Win" in c]
     return [
-        *rules.sums, *rules.maxima, *rules.minima, *setup, *rules.weighted, *rules.pooled,
+        *rules.sums, *rules.maxima, *rules.minima, *rules.first, *rules.weighted, *rules.pooled,
         *rules.squared, *rules.rates, "SegmentCount", *ENGINEERED,
     ]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("flow_queries", "mapping_queries")
+MODULES = ("flow_queries", "mapping_queries", "metric_queries", "cascade_queries")
 
 
 def load() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import checks, mapping, quantiles
+from ..session import materialise
 from . import views as V
 from .catalog import near, query, r
 
@@ -137,7 +138,7 @@ def aligned_alerts(spark, sf_dir):
     alerts = with_split(V.packets(spark, sf_dir)).where(
         (F.col("anomaly_score") >= 0.08) & F.col("split").isin("val", "test")
     )
-    cand = candidates(spark, sf_dir)
+    cand = materialise(candidates(spark, sf_dir))  # stage table: index, guard and scores read it
     return mapping.classify_packets(alerts, mapping.candidate_index(cand)), cand
 
 

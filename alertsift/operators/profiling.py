@@ -132,7 +132,7 @@ def mean_differences(df: DataFrame, columns: Sequence[str], benign: Column, k: i
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
     """Counts of ``col`` values per ``row`` value, and each as share of its row."""
-    counts = df.groupBy(_q(row)).pivot(col, list(values)).agg(F.count("*")).fillna(0, [str(v) for v in values])
+    counts = df.groupBy(_q(row)).pivot(col, list(values)).agg(F.count(F.lit(1))).fillna(0, [str(v) for v in values])
     total = sum((_q(str(v)) for v in values[1:]), _q(str(values[0])))
     return counts.withColumns({f"{v}_share": _q(str(v)) / F.nullif(total, F.lit(0)) for v in values})
 

@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("flow_queries", "mapping_queries", "metric_queries", "cascade_queries")
+MODULES = (
+    "draw_queries", "prep_queries", "flow_queries", "mapping_queries", "metric_queries", "cascade_queries",
+)
 
 
 def load() -> None:

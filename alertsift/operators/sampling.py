@@ -34,7 +34,8 @@ def hash_cuts(
 
     A rank expression may use ``n`` and the columns of ``quotas`` (one row per stratum).
     Rows with hash <= cut are the first ``rank`` ones; a rank <= 0 gives an empty cut.
-    ``key`` must identify a row.
+    Rows of equal ``key`` fall on one side of every cut; ``excess`` is the number of rows a
+    cut takes beyond its rank for that reason (0 when the key identifies a row).
     """
     keep = list(strata)
     strata = keep or [_ALL]
@@ -59,25 +60,31 @@ def hash_cuts(
         .withColumn("_need", F.col("rank") - (F.col("_upto") - F.col("_count")))
         .select(*strata, "_prefix", "cut", "_need")
     )
-    ranked = (
+    # Copies of one key share a hash: count per hash first, so they reach the window as one row.
+    groups = (
         hashed.withColumn("_prefix", F.substring(_HASH, 1, prefix))
         .join(bounded(edges), [*strata, "_prefix"])
-        .withColumn("_place", F.row_number().over(Window.partitionBy(*strata, "cut").orderBy(_HASH)))
-        .where(F.col("_place") == F.col("_need"))
+        .groupBy(*strata, "cut", "_need", _HASH)
+        .agg(F.count("*").alias("_rows"))
+    )
+    within = F.sum("_rows").over(Window.partitionBy(*strata, "cut").orderBy(_HASH))
+    ranked = groups.withColumn("_within", within).where(
+        (F.col("_within") - F.col("_rows") < F.col("_need")) & (F.col("_need") <= F.col("_within"))
     )
     found = ranked.groupBy(*strata).agg(
-        *[F.max(F.when(F.col("cut") == name, F.col(_HASH))).alias(name) for name in ranks]
+        *[F.max(F.when(F.col("cut") == name, F.col(_HASH))).alias(name) for name in ranks],
+        F.max(F.col("_within") - F.col("_need")).alias("excess"),
     )
     sizes = histogram.groupBy(*strata).agg(F.max("n").alias("n"))
     return sizes.join(found, strata, "left").select(
-        *keep, "n", *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in ranks]
+        *keep, "n", F.coalesce("excess", F.lit(0)).alias("excess"), *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in ranks]
     )
 
 
 def with_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str], key: str, seed: int = S.SEED) -> DataFrame:
     """Attach the row hash (``_hash``) and the cut values of the row's stratum."""
     hashed = df.withColumn(_HASH, hash_order(F.col(key), seed))
-    cuts = cuts.drop("n")
+    cuts = cuts.drop("n", "excess")
     if strata:
         return hashed.join(bounded(cuts), list(strata))
     values = cuts.first()  # one row when there are no strata
@@ -85,7 +92,9 @@ def with_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str], key: str, s
 
 
 def _first_by_hash(df, strata, key, rank, seed, quotas=None):
-    cuts = hash_cuts(df, strata, key, {"_cut": rank}, seed, quotas=quotas)
+    cuts = bounded(hash_cuts(df, strata, key, {"_cut": rank}, seed, quotas=quotas))
+    if not cuts.where("excess > 0").isEmpty():
+        raise ValueError(f"{key} does not identify a row, so no exact number can be drawn")
     return with_cuts(df, cuts, strata, key, seed).where(F.col(_HASH) <= F.col("_cut")).drop(_HASH, "_cut")
 
 

@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "draw_queries", "prep_queries", "flow_queries", "mapping_queries", "metric_queries", "cascade_queries",
+    "model_queries",
 )
 
 

@@ -88,7 +88,7 @@ def stage_table(spark: SparkSession, path: str, build) -> DataFrame:
 
 def write_metrics(df: DataFrame, path: str, form: str = "json") -> None:
     """A metric table as JSON lines or CSV."""
-    writer = df.coalesce(1).write.mode("errorifexists")
+    writer = df.write.mode("errorifexists")
     if form == "csv":
         writer.option("header", True).csv(path)
     else:

@@ -13,15 +13,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 2_000_000
+DIRECT_CELLS = 8_000_000  # values that one task may hold
 _ACCURACY = 10_000
+_BATCH = 40  # sketches per aggregate
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column] | Sequence[str],
     probs: Sequence[float],
-    direct_rows: int = DIRECT_ROWS,
+    direct_cells: int = DIRECT_CELLS,
 ) -> dict[str, list[float | None]]:
     """``{column: [quantile for each prob]}``, nulls ignored, None for an all-null column."""
     exprs = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
@@ -29,7 +30,7 @@ def exact_quantiles(
     names = list(exprs)
     narrow = df.select(*[exprs[n].cast("double").alias(f"q{i}") for i, n in enumerate(names)])
     counts = narrow.agg(*[F.count(c).alias(c) for c in narrow.columns]).first()
-    if max(counts) <= direct_rows:
+    if sum(counts) <= direct_cells:
         wanted = F.array(*[F.lit(p) for p in probs])
         row = narrow.agg(*[F.percentile(c, wanted).alias(c) for c in narrow.columns]).first()
         return {n: list(row[i]) if row[i] is not None else [None] * len(probs) for i, n in enumerate(names)}
@@ -41,7 +42,7 @@ def exact_quantiles(
                 position = p * (counts[i] - 1)
                 ranks.setdefault((i, math.floor(position)), None)
                 ranks.setdefault((i, math.ceil(position)), None)
-    values = _order_statistics(narrow, list(ranks), counts, direct_rows)
+    values = _order_statistics(narrow, list(ranks), counts, max(1, direct_cells // 4))
     out = {}
     for i, name in enumerate(names):
         out[name] = []
@@ -70,29 +71,19 @@ def _order_statistics(narrow, slots, counts, direct_rows):
         if not wide:
             break
         order = list(wide)
-        sketches = narrow.agg(
-            *[
-                F.percentile_approx(
-                    F.when(_inside(s, wide[s]), F.col(f"q{s[0]}")),
-                    [max(0.0, _share(s, wide[s]) - 3 / _ACCURACY), min(1.0, _share(s, wide[s]) + 3 / _ACCURACY)],
-                    _ACCURACY,
-                ).alias(f"s{j}")
-                for j, s in enumerate(order)
-            ]
-        ).first()
-        checks = []
-        for j, s in enumerate(order):
-            col, (low, high) = F.col(f"q{s[0]}"), sketches[j]
-            checks += [
-                F.count_if(col < low).alias(f"below{j}"),
-                F.count_if(col <= low).alias(f"upto_low{j}"),
-                F.count_if(col < high).alias(f"under_high{j}"),
-                F.count_if(col <= high).alias(f"upto_high{j}"),
-            ]
-        exact = narrow.agg(*checks).first()
-        for j, s in enumerate(order):
-            rank, (low, high) = s[1], sketches[j]
-            below, upto_low, under_high, upto_high = exact[4 * j : 4 * j + 4]
+        sketches = _sketch(narrow, wide)
+        exact = {}
+        for start in range(0, len(order), _BATCH):
+            part = order[start : start + _BATCH]
+            checks = []
+            for j, s in enumerate(part):
+                col, (low, high) = F.col(f"q{s[0]}"), sketches[s]
+                checks += [F.count_if(col < low), F.count_if(col <= low), F.count_if(col < high), F.count_if(col <= high)]
+            row = narrow.agg(*[c.alias(f"c{k}") for k, c in enumerate(checks)]).first()
+            exact |= {s: row[4 * j : 4 * j + 4] for j, s in enumerate(part)}
+        for s in order:
+            rank, (low, high) = s[1], sketches[s]
+            below, upto_low, under_high, upto_high = exact[s]
             if below <= rank < upto_low:
                 found[s] = low
                 del brackets[s]
@@ -135,6 +126,27 @@ def _order_statistics(narrow, slots, counts, direct_rows):
     return found
 
 
+def _sketch(narrow, wide):
+    """Approximate values a little below and above each wanted rank; one sketch per bracket."""
+    shared: dict[tuple, list] = {}
+    for s, b in wide.items():
+        shared.setdefault((s[0], b[0], b[1]), []).append(s)
+    out, groups = {}, list(shared.items())
+    for start in range(0, len(groups), _BATCH):
+        part, sketches = groups[start : start + _BATCH], []
+        for j, (key, slots) in enumerate(part):
+            probs = []
+            for s in slots:
+                share = _share(s, wide[s])
+                probs += [max(0.0, share - 3 / _ACCURACY), min(1.0, share + 3 / _ACCURACY)]
+            value = F.when(_inside(slots[0], wide[slots[0]]), F.col(f"q{key[0]}"))
+            sketches.append(F.percentile_approx(value, probs, _ACCURACY).alias(f"s{j}"))
+        row = narrow.agg(*sketches).first()
+        for j, (_, slots) in enumerate(part):
+            out |= {s: (row[j][2 * k], row[j][2 * k + 1]) for k, s in enumerate(slots)}
+    return out
+
+
 def _inside(slot, bracket) -> Column:
     col, (low, high, _, _) = F.col(f"q{slot[0]}"), bracket
     cond = col.isNotNull()

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.keys import label_of
+from ..operators.flows import epoch_micros, parse_timestamp, split_null_flow_ids
+from ..operators.ordering import number_rows
 from ..session import bounded
 
 _TEXT = {"Flow ID", "Src IP", "Dst IP", "Timestamp", "Label"}
@@ -34,11 +36,12 @@ def capture_name(path: Column) -> Column:
 def scan_captures(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """All capture CSVs of a folder as one dataset with ``source_file`` and ``label``.
 
-    With a schema the needed columns are picked by header name, so column order may differ
-    between captures. Without one every column is read as text.
+    With a schema the needed columns are picked by header name and converted; text that does
+    not convert becomes null. Without one every column is read as text. Captures whose
+    headers disagree are an error, not a silent shift of columns.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
     raw = reader.csv(paths)
     if schema is not None:
         raw = raw.select(
@@ -55,6 +58,35 @@ def scan_captures(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
     return named.withColumn("label", label_of(F.col("source_file")))
 
 
+def with_row_key(df: DataFrame, name: str = "packet_key") -> DataFrame:
+    """A reproducible row key for data without one: content digest and number among equal rows.
+
+    Equal rows are numbered over range partitions in scan order, so a row that makes up a
+    third of the data is spread over many tasks.
+    """
+    content = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns]
+    marked = df.withColumns(
+        {"_digest": F.md5(F.concat_ws("\1", *content)), "_scan": F.monotonically_increasing_id()}
+    )
+    numbered = number_rows(marked, ["_digest"], ["_scan"], "_copy")
+    return numbered.withColumn(name, F.concat("_digest", F.lit("#"), F.col("_copy").cast("string"))).drop(
+        "_digest", "_scan", "_copy"
+    )
+
+
+def read_flow_segments(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(segments, rejected rows without Flow ID), with ``ts`` in seconds and a content tie-break."""
+    df = scan_captures(spark, path, flow_schema())
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    df = df.withColumns(
+        {
+            "ts": F.floor(epoch_micros(parse_timestamp(F.col("Timestamp"))) / 1_000_000),
+            "tie": F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1)),
+        }
+    )
+    return split_null_flow_ids(df)
+
+
 def label_from_file_map(df: DataFrame, file_map: Mapping[str, Sequence[str]], file: str = "source_file") -> DataFrame:
     """Category from lists of files; rows of files in no list are left out."""
     pairs = [(f, category) for category, files in file_map.items() for f in files]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.keys import is_attack, number
+from ..session import materialise
 from .cleaning import forbid_columns
 from .ordering import number_rows
 from .quantiles import exact_quantiles
@@ -128,14 +129,9 @@ def attempts_same_target(
         f"_before_{name}": F.coalesce(F.sum("_n").over(order.rangeBetween(-w, -1)), F.lit(0)) for name, w in windows.items()
     }
     history = placed.withColumns(before).where("_home").drop("_chunk", "_home")
-    crowded = history.where("_n > 1").select(*[_q(p) for p in pair], _q(ts))
-    joined = df.join(history, [*pair, ts])
-    if crowded.isEmpty():
-        ranked = joined.withColumn("_rank", F.lit(1).cast("long"))
-    else:
-        ranked = number_rows(joined.where("_n > 1"), [*pair, ts], [tie], "_rank").unionByName(
-            joined.where("_n = 1").withColumn("_rank", F.lit(1).cast("long"))
-        )
+    joined = materialise(df.join(history, [*pair, ts]))  # read once for crowded seconds, once for the others
+    crowded, alone = joined.where("_n > 1"), joined.where("_n = 1").withColumn("_rank", F.lit(1).cast("long"))
+    ranked = alone if crowded.isEmpty() else number_rows(crowded, [*pair, ts], [tie], "_rank").unionByName(alone)
     return ranked.withColumns({name: F.col(f"_before_{name}") + F.col("_rank") for name in windows}).drop(
         "_n", "_rank", *before
     )

@@ -113,11 +113,12 @@ def attempts_same_target(
 
     ``windows`` maps output names to seconds; ``ts`` is in whole seconds. Rows of equal time
     count in the order of ``tie``. Counting works on (pair, second) totals cut into chunks
-    of a day plus one window of history, so a pair with a third of all rows has at most
+    (of a day, or the longest window) with one window of history, so a pair with a third of all rows has at most
     that many entries per task.
     """
     pair = list(pair)
     longest = max(windows.values())
+    chunk = max(chunk, longest)
     seconds = df.groupBy(*[_q(p) for p in pair], _q(ts)).agg(F.count("*").alias("_n"))
     home = F.floor(_q(ts) / chunk)
     late = _q(ts) - home * chunk >= chunk - longest

@@ -509,7 +509,7 @@ _WINDOWS = {"attempts_hour": 3_600, "attempts_day": 86_400}
 def h5(spark, sf_dir):
     windows = {"attempts_hour": 3_600, "attempts_month": 2_592_000}
     s = V.segments(spark, sf_dir).select("segment_no", "src_ip", "dst_ip", "ts")
-    out = X.attempts_same_target(s, windows, ["src_ip", "dst_ip"], "ts", "segment_no", chunk=31_536_000)
+    out = X.attempts_same_target(s, windows, ["src_ip", "dst_ip"], "ts", "segment_no")
     return out.select("segment_no", *windows)
 
 

@@ -84,8 +84,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fifth of the segments as packets, with swapped, missing and foreign endpoints."""
-    s = segments(spark, sf_dir).where((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 5 == 0)
+    """Every segment as a packet, with swapped, missing and foreign endpoints."""
+    s = segments(spark, sf_dir)
     odd = F.col("l_orderkey") % 2 == 1
     pick = lambda a, b: F.when(odd, F.col(b)).otherwise(F.col(a))
     return s.select(
@@ -147,7 +147,7 @@ PACKETS_SQL = """pk AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_par
   CAST(protocol = 6 AS INTEGER) AS l4_tcp, CAST(protocol = 17 AS INTEGER) AS l4_udp,
   label, CAST(label <> 'benign' AS INTEGER) AS y_true, l_discount + l_tax AS anomaly_score,
   fwd_pkts, fwd_bytes, len_mean, init_win
-  FROM seg WHERE (l_orderkey * 7 + l_linenumber) % 5 = 0)"""
+  FROM seg)"""
 
 
 def clusters_sql(cutoff: int = FLOW_CUTOFF) -> str:

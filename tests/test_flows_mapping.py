@@ -245,3 +245,10 @@ def test_capture_name(spark):
     paths = ["file:/d/BenignTraffic.csv", "file:/d/XSS.pcap_Flow.csv/part-0-x.csv", "file:/d/source_file=A%20B.csv/part-0.csv"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(A.capture_name(F.col("p"))).collect()
     assert [r[0] for r in got] == ["BenignTraffic.csv", "XSS.pcap_Flow.csv", "A B.csv"]
+
+
+def test_disagreeing_headers_are_an_error(spark, tmp_path):
+    (tmp_path / "Benign.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "XSS.csv").write_text("b,a\n2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        A.scan_captures(spark, str(tmp_path)).collect()

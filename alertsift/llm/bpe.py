@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 STRETCH = 1 << 20  # characters encoded at a time
 CACHED_WORDS, CACHED_CHUNKS = 300_000, 500_000
 LONGEST_CACHED = 64
+SHORT = 48  # symbols up to which merges are found by scanning
 _NEVER = np.iinfo(np.int64).max
 
 # The white space and the word pattern of the vocabulary's format.
@@ -70,6 +71,8 @@ class Vocabulary:
                 raise ValueError(f"two merges make {a + b!r}")
             self.rank[whole], self.left[whole], self.right[whole] = r, ids[a], ids[b]
             self.pair_rank[ids[a], ids[b]] = (r, whole)
+        self.rank_of = {a * size + b: r for (a, b), (r, _) in self.pair_rank.items()}
+        self.whole = [whole for _, whole in self.pair_rank.values()]  # by rank, as merges are listed
         keys = np.array([a * size + b for a, b in self.pair_rank], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], np.array([r for r, _ in self.pair_rank.values()], np.int64)[order]
@@ -118,6 +121,8 @@ class Vocabulary:
     def merge(self, word: str) -> list[int]:
         """The exact encoding: always the earliest merge, of equal ones the leftmost."""
         part = [self.base[c] for c in word[:-1]] + [self.base[word[-1] + self.end]]
+        if len(part) <= SHORT:
+            return self._merge_short(part)
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         heap = [(*self.pair_rank[p], k) for k, p in enumerate(zip(part, part[1:])) if p in self.pair_rank]
         heap = [(r, k, whole) for r, whole, k in heap]
@@ -136,6 +141,23 @@ class Vocabulary:
                     heapq.heappush(heap, (found[0], left, found[1]))
         return [p for p in part if p >= 0]
 
+    def _merge_short(self, part: list[int]) -> list[int]:
+        """The same for a few symbols, where scanning all ranks beats a heap."""
+        size, rank_of = self.size, self.rank_of
+        ranks = [rank_of.get(a * size + b, _NEVER) for a, b in zip(part, part[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == _NEVER:
+                break
+            k = ranks.index(least)
+            part[k] = self.whole[least]
+            del part[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank_of.get(part[k - 1] * size + part[k], _NEVER)
+            if k < len(ranks):
+                ranks[k] = rank_of.get(part[k] * size + part[k + 1], _NEVER)
+        return part
+
 
 class Encoder:
     """Encodes texts with one vocabulary; keeps what it has met, up to a bound."""

@@ -36,6 +36,7 @@ from .common import staged
 from .graph import components
 
 BLOCK = 2048  # members of one bucket that one task compares with as many others
+PAIRS = 1 << 15  # pairs of registers compared at a time
 SIGMAS = 5
 
 
@@ -177,34 +178,62 @@ def _crossing_pairs(buckets: DataFrame, classes: DataFrame, parts: DataFrame, ro
     )
     full = meeting.join(classes.select("rep", "n_shingles", "registers"), "rep")
 
-    def compare(rows_of_bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket, low, high = rows_of_bucket["bucket"].iat[0], rows_of_bucket["low"].iat[0], rows_of_bucket["high"].iat[0]
-        left = rows_of_bucket[rows_of_bucket["block"] == low].reset_index(drop=True)
-        right = left if low == high else rows_of_bucket[rows_of_bucket["block"] == high].reset_index(drop=True)
-        regs, other_regs = _matrix(left["registers"]), _matrix(right["registers"])
-        keys, filled = sketch.band_keys(other_regs, rows)
-        found_a, found_b = [], []
-        for i in range(len(left)):
-            size, reps = left["n_shingles"].iat[i], right["rep"].to_numpy()
-            sizes = right["n_shingles"].to_numpy()
-            at = np.flatnonzero(
-                (right["component"].to_numpy() != left["component"].iat[i])
-                & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
-                & ((reps > left["rep"].iat[i]) | (low != high))
-            )
-            if not len(at):
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _sorted_groups(batches, ["bucket", "low", "high"]):
+            bucket, low, high = (group[c].iat[0] for c in ("bucket", "low", "high"))
+            side = group["block"].to_numpy()
+            left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+            rep, part, size = (group[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+            if part.min() == part.max():
                 continue
-            near = at[sketch.estimate(np.broadcast_to(regs[i], (len(at), sketch.BUCKETS)), other_regs[at]) >= floor]
-            if len(near):
-                own, own_filled = sketch.band_keys(regs[i : i + 1], rows)
-                shared = (keys[near] == own) & filled[near] & own_filled
-                near = near[own[0][shared.argmax(axis=1)] == bucket]
-                found_a += [left["rep"].iat[i]] * len(near)
-                found_b += list(reps[near])
-        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return full.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long")
+            regs = _matrix(group["registers"])
+            for at in range(0, len(left), max(1, PAIRS // len(right))):
+                rows_at = left[at : at + max(1, PAIRS // len(right))]
+                x, y = np.repeat(rows_at, len(right)), np.tile(right, len(rows_at))
+                good = part[x] != part[y]
+                good &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+                if low == high:
+                    good &= rep[x] < rep[y]
+                x, y = x[good], y[good]
+                if not len(x):
+                    continue
+                near = sketch.estimate(regs[x], regs[y]) >= floor
+                x, y = x[near], y[near]
+                if len(x):
+                    key_x, filled_x = sketch.band_keys(regs[x], rows)
+                    key_y, filled_y = sketch.band_keys(regs[y], rows)
+                    first = ((key_x == key_y) & filled_x & filled_y).argmax(axis=1)
+                    mine = key_x[np.arange(len(x)), first] == bucket
+                    a, b = rep[x[mine]], rep[y[mine]]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    order = ["bucket", "low", "high"]
+    return full.repartition(*order).sortWithinPartitions(*order).mapInPandas(compare, "a long, b long")
+
+
+def _sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a partition sorted by ``keys``; only the open group is held across batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch[k].to_numpy() for k in keys]
+        cut = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
+        if held and any(held[-1][k].iat[-1] != v[0] for k, v in zip(keys, values, strict=True)):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        edges = [0, *cut.tolist(), len(batch)]
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.iloc[start:stop]
+            if stop == len(batch):
+                held.append(part)
+            elif held:
+                yield pd.concat([*held, part], ignore_index=True)
+                held = []
+            else:
+                yield part
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def near_duplicates(

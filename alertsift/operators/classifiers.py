@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.keys import hash_order
-from ..session import bounded, materialise
+from ..session import bounded, join_groups, materialise
 from . import metrics as M
 
 
@@ -176,7 +176,7 @@ def fit_dummy(df, label, classes, strategy: str = "most_frequent", key: str | No
 
 def with_class_weight(df: DataFrame, label: str, scheme: str = "balanced", out: str = "weight") -> DataFrame:
     table = M.class_weights(df, label, scheme).select(label, F.col("weight").alias(out))
-    return df.join(bounded(table), label)
+    return join_groups(df, bounded(table), [label])
 
 
 def evaluate(scored: DataFrame, label: str, classes: Sequence, prediction: str = "prediction") -> DataFrame:

@@ -163,18 +163,22 @@ def log1p(df: DataFrame, columns: Sequence[str], absolute: bool = False) -> Data
 
 
 def hex_to_number(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``0x..`` text to its value, other text to a number if it is one, null to the median."""
-    parsed = df.withColumns(
-        {
-            c: F.when(_q(c).startswith("0x"), F.conv(F.substring(_q(c), 3, 16), 16, 10).try_cast("double")).otherwise(
-                _q(c).try_cast("double")
-            )
-            for c in columns
-        }
-    )
+    """``0x..`` text to its value, other text to a number if it is one, null to the median.
+
+    All digits count, however many; text with anything but digits behind ``0x`` is no number.
+    """
+    parsed = df.withColumns({c: F.when(_q(c).startswith("0x"), _hex_value(_q(c))).otherwise(_q(c).try_cast("double")) for c in columns})
     return median_impute(parsed, columns)
 
 
+def _hex_value(text: Column) -> Column:
+    digits = F.substring(text, 3, 1 << 30)
+    digit = lambda c: (F.instr(F.lit("0123456789abcdef"), c) - 1).cast("double")
+    long = F.aggregate(F.split(F.lower(digits), ""), F.lit(0.0), lambda total, c: F.when(c == "", total).otherwise(total * 16 + digit(c)))
+    short = F.conv(digits, 16, 10).try_cast("double")
+    return F.when(digits.rlike("^[0-9a-fA-F]{1,16}$"), short).when(digits.rlike("^[0-9a-fA-F]+$"), long)
+
+
 @dataclass(frozen=True)
 class Scaling:
     """Centre and (non-zero) scale per column."""

@@ -111,6 +111,8 @@ def attempts_same_target(
 ) -> DataFrame:
     """Rows of the same pair in the closed look-back window, counting earlier rows and itself.
 
+    Every row stays; where the time or a part of the pair is null the count is null.
+
     ``windows`` maps output names to seconds; ``ts`` is in whole seconds. Rows of equal time
     count in the order of ``tie``. Counting works on (pair, second) totals cut into chunks
     (of a day, or the longest window) with one window of history, so a pair with a third of all rows has at most
@@ -130,8 +132,8 @@ def attempts_same_target(
         f"_before_{name}": F.coalesce(F.sum("_n").over(order.rangeBetween(-w, -1)), F.lit(0)) for name, w in windows.items()
     }
     history = placed.withColumns(before).where("_home").drop("_chunk", "_home")
-    joined = materialise(df.join(history, [*pair, ts]))  # read once for crowded seconds, once for the others
-    crowded, alone = joined.where("_n > 1"), joined.where("_n = 1").withColumn("_rank", F.lit(1).cast("long"))
+    joined = materialise(df.join(history, [*pair, ts], "left"))  # read once for crowded seconds, once for the others
+    crowded, alone = joined.where("_n > 1"), joined.where("_n = 1 OR _n IS NULL").withColumn("_rank", F.lit(1).cast("long"))
     ranked = alone if crowded.isEmpty() else number_rows(crowded, [*pair, ts], [tie], "_rank").unionByName(alone)
     return ranked.withColumns({name: F.col(f"_before_{name}") + F.col("_rank") for name in windows}).drop(
         "_n", "_rank", *before

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..schema import FlowRules
+from ..session import join_groups
 from .ordering import number_rows
 
 _BUCKET, _LOW, _HIGH = "_bucket", "_low", "_high"
@@ -50,7 +51,7 @@ def _gap_clusters(buckets: DataFrame, keys: list[str], cutoff: float) -> DataFra
 
 
 def _bucket_of(ts: str, cutoff: float) -> Column:
-    return F.floor(_q(ts) / F.lit(max(cutoff, 1)))
+    return F.floor(_q(ts) / F.lit(cutoff if cutoff > 0 else 1e-6))  # no two rows of a bucket lie further apart than the cut-off
 
 
 def assign_logical_flow(
@@ -65,13 +66,13 @@ def assign_logical_flow(
     after any gap above ``cutoff``. ``ts`` is numeric, in the unit of ``cutoff``.
 
     A segment without a time forms its own cluster, numbered after the timed ones (in the
-    order of ``tie``). Keys must not be null.
+    order of ``tie``). A null key is a key of its own.
     """
     keys = list(keys)
     timed = df.where(_q(ts).isNotNull()).withColumn(_BUCKET, _bucket_of(ts, cutoff))
     spans = timed.groupBy(*[_q(k) for k in keys], _BUCKET).agg(F.min(_q(ts)).alias(_LOW), F.max(_q(ts)).alias(_HIGH))
     clusters = _gap_clusters(spans, keys, cutoff)
-    out = timed.join(clusters.drop(_LOW, _HIGH), [*keys, _BUCKET]).drop(_BUCKET)
+    out = join_groups(timed, clusters.drop(_LOW, _HIGH), [*keys, _BUCKET]).drop(_BUCKET)
     untimed = df.where(_q(ts).isNull())
     if not untimed.isEmpty():
         out = out.unionByName(_untimed_clusters(untimed, clusters, keys, tie))
@@ -82,7 +83,7 @@ def _untimed_clusters(untimed, clusters, keys, tie):
     last = clusters.groupBy(*[_q(k) for k in keys]).agg(F.max("_cluster").alias("_last"))
     order = [_q(tie) if tie else F.xxhash64(*[_q(c) for c in untimed.columns])]
     numbered = number_rows(untimed, keys, order, "_n")
-    return numbered.join(last, keys, "left").withColumn(
+    return join_groups(numbered, last, keys, "left").withColumn(
         "_cluster", F.col("_n") + F.coalesce("_last", F.lit(0))
     ).drop("_n", "_last")
 
@@ -95,7 +96,7 @@ class RuleAggregates:
     """The aggregate expressions of a rule set: partial states, their merge, final columns.
 
     States are numbers, so the first step runs as a hash aggregate. The order of a row in
-    time is one decimal, ``ts * 10^19 + tie``; ``tie`` is a non-negative long.
+    time is one decimal, ``microseconds * 10^19 + tie``; ``ts`` is in seconds, ``tie`` a non-negative long.
     """
 
     def __init__(self, rules: FlowRules, ts: str = "ts", tie: str | None = None):
@@ -105,7 +106,8 @@ class RuleAggregates:
         return F.expr(self.rules.derived[name]) if name in self.rules.derived else _q(name)
 
     def _order(self) -> Column:
-        ts = F.coalesce(_q(self.ts), F.lit(0)).cast("decimal(19,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+        micros = (F.coalesce(_q(self.ts), F.lit(0)).cast("decimal(18,6)") * F.lit(1_000_000)).cast("decimal(18,0)")
+        ts = micros * F.lit("10000000000000000000").cast("decimal(20,0)")
         tie = _q(self.tie).cast("decimal(19,0)") if self.tie else F.lit(0).cast("decimal(19,0)")
         return (ts.cast("decimal(38,0)") + tie).cast("decimal(38,0)")
 

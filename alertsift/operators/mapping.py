@@ -135,6 +135,7 @@ def remove_leaks(
     marked = sample.join(test, "lfid", "left").join(val, "lfid", "left")
     by_test, by_val = F.col("_test").isNotNull(), F.col("_val").isNotNull()
     leaks = ((F.col(split) == "train") & (by_test | by_val)) | ((F.col(split) == "val") & by_test)
+    leaks = F.coalesce(leaks, F.lit(False))  # a row without a split leaks into none and is kept
     return marked.where(~leaks).drop("_test", "_val"), marked.where(leaks).drop("_test", "_val")
 
 

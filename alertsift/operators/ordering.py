@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded, materialise
+from ..session import bounded, join_groups, materialise
 
 _RANGE = "_range"
 
@@ -54,7 +54,7 @@ def running_totals(
     inside = Window.partitionBy(_RANGE, *group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = materialise(ranged.select("*", *[F.sum(s).over(inside).alias(f"cum_{s}") for s in sums]))
     offsets = _range_offsets(local, group, {s: s for s in sums})
-    return local.join(offsets, [*group, _RANGE]).select(
+    return join_groups(local, offsets, [*group, _RANGE]).select(
         *group,
         value,
         *sums,
@@ -94,7 +94,7 @@ def number_rows(
             F.sum("_rows").over(whole).alias("_total"),
         )
     )
-    out = local.join(offsets, [*group, _RANGE]).withColumn(number, F.col("_at") + F.col("_shift"))
+    out = join_groups(local, offsets, [*group, _RANGE]).withColumn(number, F.col("_at") + F.col("_shift"))
     if size:
         out = out.withColumn(size, F.col("_total"))
     return out.drop(_RANGE, "_at", "_shift", "_total")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.keys import hash_order
-from ..session import bounded
+from ..session import bounded, join_groups
 
 _HASH = "_hash"
 _ALL = "_all"  # the single stratum of an unstratified draw
@@ -48,7 +48,7 @@ def hash_cuts(
         .withColumn("n", F.sum("_count").over(whole))
     )
     if quotas is not None:
-        histogram = histogram.join(bounded(quotas), strata)
+        histogram = join_groups(histogram, bounded(quotas), strata)
     wanted = F.array(
         *[F.struct(F.lit(name).alias("cut"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]
     )
@@ -62,8 +62,7 @@ def hash_cuts(
     )
     # Copies of one key share a hash: count per hash first, so they reach the window as one row.
     groups = (
-        hashed.withColumn("_prefix", F.substring(_HASH, 1, prefix))
-        .join(bounded(edges), [*strata, "_prefix"])
+        join_groups(hashed.withColumn("_prefix", F.substring(_HASH, 1, prefix)), bounded(edges), [*strata, "_prefix"])
         .groupBy(*strata, "cut", "_need", _HASH)
         .agg(F.count("*").alias("_rows"))
     )
@@ -76,7 +75,7 @@ def hash_cuts(
         F.max(F.col("_within") - F.col("_need")).alias("excess"),
     )
     sizes = histogram.groupBy(*strata).agg(F.max("n").alias("n"))
-    return sizes.join(found, strata, "left").select(
+    return join_groups(sizes, found, strata, "left").select(
         *keep, "n", F.coalesce("excess", F.lit(0)).alias("excess"), *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in ranks]
     )
 
@@ -86,7 +85,7 @@ def with_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str], key: str, s
     hashed = df.withColumn(_HASH, hash_order(F.col(key), seed))
     cuts = cuts.drop("n", "excess")
     if strata:
-        return hashed.join(bounded(cuts), list(strata))
+        return join_groups(hashed, bounded(cuts), list(strata))
     values = cuts.first()  # one row when there are no strata
     return hashed.withColumns({c: F.lit(values[c] if values else "") for c in cuts.columns})
 

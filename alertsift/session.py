@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_groups(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal groups, a null group being equal to a null group; columns as of a named join."""
+    names = {c: f"_group{i}" for i, c in enumerate(on)}
+    other = right.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns])
+    same = F.lit(True)
+    for c, alias in names.items():
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(alias))
+    return left.join(other, same, how).drop(*names.values())
+
+
 def bounded(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
     """``df`` as a broadcast table when it has at most ``limit`` rows, else ``df`` itself.
 

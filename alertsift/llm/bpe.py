@@ -20,8 +20,9 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 STRETCH = 1 << 20  # characters encoded at a time
-CACHED_WORDS, CACHED_CHUNKS = 300_000, 500_000
-LONGEST_CACHED = 64
+CACHED_WORDS, CACHED_CHUNKS = 400_000, 700_000
+LONGEST_CACHED = 32
 SHORT = 48  # symbols up to which merges are found by scanning
 _NEVER = np.iinfo(np.int64).max
 
@@ -85,6 +88,10 @@ class Vocabulary:
         self.ids = {t: k for t, k in ids.items() if sound[k]}
         self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
         self.base = ids
+        self.reach: dict[str, int] = {}  # the length of the longest token without an end, by its first two letters
+        for t in self.ids:
+            if not t.endswith(self.end):
+                self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each pair: does no merge across its border come before ``limit`` and their own merges?"""
@@ -108,12 +115,14 @@ class Vocabulary:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; ``word`` is in byte letters, without its end mark."""
-        ids, n, at, out = self.ids, len(word), 0, []
+        get, n, at, out = self.ids.get, len(word), 0, []
         while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
-                token = ids.get(word[at:stop] + self.end if stop == n else word[at:stop])
-                if token is not None:
-                    break
+            stop = n
+            token = get(word[at:] + self.end) if n - at <= self.longest else None
+            if token is None:
+                stop = min(n - 1, at + self.reach.get(word[at : at + 2], 1))
+                while stop > at and (token := get(word[at:stop])) is None:
+                    stop -= 1
             out.append(token)
             at = stop
         return out
@@ -180,7 +189,11 @@ class Encoder:
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         low = chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)
-        return [low] if low.isalpha() else WORD.findall(low)
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return WORD.findall(low)
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Encodings of new chunks; new words are proposed, verified together and merged if need be."""
@@ -188,20 +201,27 @@ class Encoder:
         known = self.words if len(self.words) < CACHED_WORDS else {}
         self.words = known
         new = list({w for words in split.values() for w in words if w not in known})
-        spelt = ["".join(map(self.letters.__getitem__, w.encode("utf-8", "replace"))) for w in new]
-        proposals = [[self.v.special[w[1:]]] if w[0] == "\0" and w[1:] in self.v.special else self.v.propose(s) for w, s in zip(new, spelt, strict=True)]
+        letter, special = self.letters.__getitem__, self.v.special
+        # Printable ASCII stands for itself.
+        spelt = [w if w.isascii() and w.isprintable() else "".join(map(letter, w.encode("utf-8", "replace"))) for w in new]
+        proposals = [
+            [special[w[1:]]] if w[0] == "\0" and w[1:] in special else self.v.propose(s) for w, s in zip(new, spelt, strict=True)
+        ]
         sizes = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(sizes.sum()))
         word_of = np.repeat(np.arange(len(proposals)), sizes)
         inner = np.flatnonzero(word_of[:-1] == word_of[1:]) if len(flat) else np.empty(0, np.int64)
         pairs, back = np.unique(flat[inner] * self.v.size + flat[inner + 1], return_inverse=True)
         good = self.v.compatible(pairs // self.v.size, pairs % self.v.size)[back]
         for k in np.unique(word_of[inner[~good]]):
             proposals[k] = self.v.merge(spelt[k])
-        fresh = {w: np.array(p, "<u4").tobytes() for w, p in zip(new, proposals, strict=True)}
-        get = lambda w: fresh[w] if w in fresh else known[w]
-        learnt = {c: b"".join(map(get, words)) for c, words in split.items()}
-        known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_CACHED)
+        packed = np.fromiter(chain.from_iterable(proposals), "<u4").tobytes()
+        ends = np.cumsum([4 * len(p) for p in proposals]).tolist()
+        known.update((w, packed[a:b]) for w, a, b in zip(new, [0, *ends], ends))
+        learnt = {c: known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words)) for c, words in split.items()}
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del known[w]
         return learnt
 
     def _stretches(self, text: str) -> Iterator[str]:
@@ -217,23 +237,37 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        parts = []
-        for stretch in self._stretches(text or ""):
-            chunks = stretch.replace("\n", " ").split(" ")
-            missing = set(chunks).difference(self.chunks)
-            if missing:
-                if len(self.chunks) + len(missing) > CACHED_CHUNKS:
-                    self.chunks = {"": b""}
-                    missing = set(chunks) - {""}
-                learnt = self._learn(missing)
-                long = [c for c in learnt if len(c) > LONGEST_CACHED]
-                self.chunks.update(learnt)
-                parts.append(b"".join(map(self.chunks.__getitem__, chunks)))
-                for c in long:
-                    del self.chunks[c]
+        return b"".join(self._encode_known([s])[0] for s in self._stretches(text or ""))
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The same for many texts; new chunks are learnt for several texts at once."""
+        window: list[str] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if window and size + len(text) > STRETCH:
+                yield from self._encode_known(window)
+                window, size = [], 0
+            if len(text) > STRETCH:
+                yield self.encode(text)
             else:
-                parts.append(b"".join(map(self.chunks.__getitem__, chunks)))
-        return b"".join(parts)
+                window.append(text)
+                size += len(text)
+        yield from self._encode_known(window)
+
+    def _encode_known(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks = {"": b""}
+        missing = set().union(*split).difference(self.chunks)
+        if missing:
+            self.chunks.update(self._learn(missing))
+        get = self.chunks.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in split]
+        for c in missing:
+            if len(c) > LONGEST_CACHED:
+                del self.chunks[c]
+        return out
 
 
 _MADE: dict[str, Encoder] = {}
@@ -262,11 +296,12 @@ def share(spark: SparkSession, path: str):
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of every text as an array of integers."""
     shared = share(docs.sparkSession, path)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids_of(texts: pd.Series) -> pd.Series:
         encoder = encoder_of(shared)
-        return pd.Series([np.frombuffer(encoder.encode(t), "<i4") for t in texts], dtype=object)
+        return pd.Series([np.frombuffer(b, "<i4") for b in encoder.encode_many(texts)], dtype=object)
 
     return docs.withColumn(out, ids_of(F.col(text)))
 
@@ -274,10 +309,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of every array of ids: its tokens, joined by blanks."""
     shared = share(docs.sparkSession, path)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def text_of(rows: pd.Series) -> pd.Series:
         tokens = encoder_of(shared).v.tokens
-        return pd.Series([" ".join(map(tokens.__getitem__, r)) if r is not None else "" for r in rows], dtype=object)
+        return pd.Series([" ".join(map(tokens.__getitem__, r.tolist())) if r is not None else "" for r in rows], dtype=object)
 
     return docs.withColumn(out, text_of(F.col(ids)))

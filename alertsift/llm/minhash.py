@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import staged
+from .common import small_batches, staged
 from .graph import components
 
 BLOCK = 2048  # members of one bucket that one task compares with as many others
@@ -243,6 +243,7 @@ def near_duplicates(
 
     Documents link when 100 * intersection >= percent * union of their shingle sets.
     """
+    small_batches(docs.sparkSession)
     rows = rows_for(percent)
     signed = staged(signatures(docs, id_col, text_col, width), "signatures")
     with_id = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())

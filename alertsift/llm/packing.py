@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import staged
+from .common import small_batches, staged
 
 LENGTH, WINDOW = 4096, 64 * 4096
 
@@ -56,6 +56,7 @@ _MADE: dict[str, LibraryEncoder] = {}
 
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(_row, id, source, n, ids): the ids of each row with the end id, as 16-bit integers if they fit."""
+    small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast((path, f.read()))
 
@@ -66,7 +67,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             _MADE[name] = LibraryEncoder(file)
         encoder, end = _MADE[name], np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = [np.frombuffer(encoder.encode(t) + end, "<u4") for t in batch["text"]]
+            ids = [np.frombuffer(b + end, "<u4") for b in encoder.encode_many(batch["text"])]
             yield pd.DataFrame(
                 {
                     "_row": batch["_row"],

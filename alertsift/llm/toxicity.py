@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 DRIFT = 0.6
 SHORTEST, LONGEST = 4, 8
@@ -180,6 +180,7 @@ def learn(
 
 def _calibrated(texts: DataFrame, draft: Model) -> Model:
     """lambda and K from the clean documents, the curve from all; rows are bounded by the sample."""
+    small_batches(texts.sparkSession)
     terms = texts.sparkSession.sparkContext.broadcast(draft.terms)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,6 +248,7 @@ _WORKER: dict[int, _Scores] = {}
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``passages`` (first and last word, evidence)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.name(), model))
 
     @F.pandas_udf("score double, passages array<struct<first:int,last:int,evidence:double>>")

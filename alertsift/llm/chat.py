@@ -84,10 +84,19 @@ LAYOUTS = (
     Layout("response", ("prompt", "response"), ("system",), _answered("response")),
 )
 PATHS = tuple(sorted({p for layout in LAYOUTS for p in (*layout.required, *layout.optional)}))
-RECORD = T.StructType.fromDDL(
-    "turns array<struct<role:string,text:string>>, messages array<struct<role:string,content:string>>, "
-    "conversations array<struct<`from`:string,value:string>>, prompt string, completion string, response string, "
-    "instruction string, input string, output string, system string"
+
+
+def _turn_list(role: str, text: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(role, T.StringType()), T.StructField(text, T.StringType())]))
+
+
+RECORD = T.StructType(
+    [
+        T.StructField("turns", _turn_list("role", "text")),
+        T.StructField("messages", _turn_list("role", "content")),
+        T.StructField("conversations", _turn_list("from", "value")),
+        *[T.StructField(f, T.StringType()) for f in ("prompt", "completion", "response", "instruction", "input", "output", "system")],
+    ]
 )
 
 

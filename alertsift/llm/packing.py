@@ -188,7 +188,7 @@ def pack(
 
     at = placed.select("_row", "round", F.col("before").alias("at"))
     cut = (
-        coded.join(at, "_row")
+        coded.join(at.hint("merge"), "_row")  # grows with the corpus, so it is not for broadcasting
         .withColumn("width", width)
         .select("id", "n", "width", "round", F.explode(F.transform(F.sequence(first, F.floor((F.col("at") + F.col("n") - 1) / length)), piece)).alias("p"))
     )

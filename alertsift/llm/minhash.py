@@ -16,6 +16,8 @@ The chance that a pair at the threshold shares no band is below 1e-5 (see ``rows
 passes the estimate unless it errs by five standard deviations. Small sets have no such risk:
 they differ in fewer registers than they have bands.
 
+Tables that grow with the corpus are joined by merging (a hint), never by broadcasting.
+
 Defined cases: a null or blank text has an empty set and links with nothing; a text shorter
 than a shingle is one shingle; rows with equal ids or texts are copies; a row without an id has
 no component and is kept; other columns are ignored.
@@ -110,7 +112,7 @@ def _star_pairs(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFra
         .select("bucket", F.col("first.rep").alias("leader"))
     )
     pairs = (
-        buckets.join(leaders, "bucket")
+        buckets.join(leaders.hint("merge"), "bucket")
         .where(F.col("rep") != F.col("leader"))
         .select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
         .distinct()
@@ -127,7 +129,7 @@ def _with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the columns of ``facts`` (keyed by rep) for either side."""
     for side in ("a", "b"):
         named = facts.select(*[F.col(c).alias(side if c == "rep" else f"{c}_{side}") for c in facts.columns])
-        pairs = pairs.join(named, side)
+        pairs = pairs.join(named.hint("merge"), side)
     return pairs
 
 
@@ -149,7 +151,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
         return pd.Series([check(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("_text"))
-    sets = texts.join(needed, "rep").select("rep", full_set(F.coalesce("_text", F.lit(""))).alias("set"))
+    sets = texts.join(needed.hint("merge"), "rep").select("rep", full_set(F.coalesce("_text", F.lit(""))).alias("set"))
     return _with_both(pairs, sets).where(linked("set_a", "set_b")).select("a", "b").distinct()
 
 
@@ -176,7 +178,7 @@ def _crossing_pairs(buckets: DataFrame, classes: DataFrame, parts: DataFrame, ro
     meeting = members.withColumn("_o", other).select(
         "bucket", "rep", "component", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block"
     )
-    full = meeting.join(classes.select("rep", "n_shingles", "registers"), "rep")
+    full = meeting.join(classes.select("rep", "n_shingles", "registers").hint("merge"), "rep")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _sorted_groups(batches, ["bucket", "low", "high"]):

@@ -247,53 +247,75 @@ def fit_autoencoder(
     width: int,
     hidden: Sequence[int] = (64, 32, 16),
     vector: str = "features",
-    steps: int = 60,
-    rate: float = 1e-2,
+    epochs: int = 20,
+    batch: int = 256,
+    passes: int = 3,
+    rate: float = 2e-3,
     decay: float = 1e-5,
     seed: int = S.SEED,
 ) -> AutoencoderModel:
-    """Data-parallel training: every step sums gradients over all partitions of ``fit``.
+    """Mini-batch Adam inside each partition, averaged over partitions after every epoch.
 
-    Partitions return one gradient each, added up in a tree between executors; only the sum
-    (one number per parameter) comes back, and Adam moves the weights. ``fit`` should be a
-    cached or stage table, as every step reads it.
+    A partition streams its rows and takes ``passes`` rounds of mini-batches over each Arrow
+    batch, starting from the common weights and moments. The results, weighted by rows, are
+    added up in a tree between executors; one vector per epoch comes back. Small inputs
+    use few partitions, so that each still takes enough steps. ``fit`` should be a cached or
+    stage table, as every epoch reads it. An empty input raises an error.
     """
     sizes = [width, *hidden, *list(reversed(hidden[:-1])), width]
     rng = np.random.default_rng(seed)
-    weights = [rng.uniform(-1, 1, (a, b)) * math.sqrt(1.0 / a) for a, b in zip(sizes, sizes[1:])]
-    biases = [np.zeros(b) for b in sizes[1:]]
+    shapes = list(zip(sizes, sizes[1:]))
+    start = [rng.uniform(-1, 1, (a, b)) * math.sqrt(1.0 / a) for a, b in shapes]
+    flat = np.concatenate([p.ravel() for w in start for p in (w, np.zeros(w.shape[1]))])
     context = fit.sparkSession.sparkContext
     rows = fit.select(vector_to_array(F.col(vector)).alias("x"))
-    count = sum(w.size + b.size for w, b in zip(weights, biases))
-    first, second = np.zeros(count), np.zeros(count)
-
-    for step in range(1, steps + 1):
-        shared = context.broadcast((weights, biases))
-
-        def partial(batches, shared=shared):
-            total, loss, n = np.zeros(count), 0.0, 0
-            for batch in batches:
-                x = np.stack(batch["x"].to_numpy())
-                gradient, error = _gradients(x, *shared.value)
-                total, loss, n = total + gradient, loss + error, n + len(x)
+    available = rows.count()
+    if not available:
+        raise ValueError("no rows to fit the autoencoder on")
+    rows = rows.coalesce(max(1, available // (8 * batch)))
+    state = np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)])  # weights, both moments
+    taken = 0
+    for epoch in range(epochs):
+        shared = context.broadcast((state, taken))
+
+        def train(batches, shared=shared, epoch=epoch):
+            (own, done), n, count = shared.value, 0, 0
+            own, order = own.copy(), np.random.default_rng(seed + epoch)
+            for arrow in batches:
+                x = np.stack(arrow["x"].to_numpy())
+                n += len(x)
+                for _ in range(passes):
+                    for at in np.array_split(order.permutation(len(x)), max(1, -(-len(x) // batch))):
+                        count += 1
+                        gradient, _ = _gradients(x[at], *_layers(own[0], shapes))
+                        _adam(own, gradient / len(at) + decay * own[0], rate, done + count)
             if n:
-                yield pd.DataFrame({"g": [total.tobytes()], "loss": [loss], "n": [n]})
+                yield pd.DataFrame({"state": [(own * n).tobytes()], "n": [n], "count": [count]})
 
-        sums = rows.mapInPandas(partial, "g binary, loss double, n long").rdd.map(
-            lambda r: (np.frombuffer(bytes(r["g"])), r["loss"], r["n"])
+        sums = rows.mapInPandas(train, "state binary, n long, count long").rdd.map(
+            lambda r: (np.frombuffer(bytes(r["state"])), r["n"], r["count"])
         )
-        total, _, n = sums.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
-        flat = np.concatenate([p.ravel() for pair in zip(weights, biases) for p in pair])
-        gradient = total / n + decay * flat
-        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        flat = flat - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        weights, biases, at = [], [], 0
-        for a, b in zip(sizes, sizes[1:]):
-            weights.append(flat[at : at + a * b].reshape(a, b))
-            biases.append(flat[at + a * b : at + a * b + b])
-            at += a * b + b
+        total, n, count = sums.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])))
+        state, taken = (total / n).reshape(3, -1), taken + count
         shared.unpersist()
-    return AutoencoderModel(weights, biases, len(hidden))
+    return AutoencoderModel(*_layers(state[0], shapes), len(hidden))
+
+
+def _layers(flat: np.ndarray, shapes: Sequence[tuple[int, int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Weights and biases as views into one vector."""
+    weights, biases, at = [], [], 0
+    for a, b in shapes:
+        weights.append(flat[at : at + a * b].reshape(a, b))
+        biases.append(flat[at + a * b : at + a * b + b])
+        at += a * b + b
+    return weights, biases
+
+
+def _adam(state: np.ndarray, gradient: np.ndarray, rate: float, step: int) -> None:
+    """One step on (weights, first moment, second moment), in place."""
+    state[1] += 0.1 * (gradient - state[1])
+    state[2] += 0.001 * (gradient**2 - state[2])
+    state[0] -= rate * (state[1] / (1 - 0.9**step)) / (np.sqrt(state[2] / (1 - 0.999**step)) + 1e-8)
 
 
 def search_autoencoder(fit: DataFrame, validation: DataFrame, width: int, grid: Sequence[Sequence[int]], vector: str = "features", **options) -> tuple[AutoencoderModel, DataFrame]:

@@ -5,6 +5,7 @@ Model fits have no SQL twin; tests compare them with baselines and with brute fo
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -14,6 +15,7 @@ from ..operators import detectors as D
 from ..operators import explain as E
 from ..operators import metrics as M
 from ..operators import splits
+from ..operators.quantiles import exact_quantiles
 from ..session import materialise
 from . import cascade_queries as CQ
 from . import mapping_queries as MQ
@@ -38,7 +40,7 @@ def _scores(df):
 @query("i1_isolation_forest")
 def i1(spark, sf_dir):
     rows, train, _ = split_vectors(spark, sf_dir)
-    return _scores(D.fit_isolation_forest(train.where("y = 0"), "vec_id", trees=50).score(rows))
+    return _scores(D.fit_isolation_forest(train.where("y = 0"), "vec_id").score(rows))
 
 
 @query("i2_subspace_detector")
@@ -50,7 +52,7 @@ def i2(spark, sf_dir):
 @query("i2_autoencoder")
 def i2_autoencoder(spark, sf_dir):
     rows, train, _ = split_vectors(spark, sf_dir)
-    return _scores(D.fit_autoencoder(train.where("y = 0"), 64, (32, 16), steps=15).score(rows))
+    return _scores(D.fit_autoencoder(train.where("y = 0"), 64, (32, 16)).score(rows))
 
 
 @query("i3_capacity_search")
@@ -66,7 +68,7 @@ def i3_architecture(spark, sf_dir):
     _, train, _ = split_vectors(spark, sf_dir)
     benign = materialise(splits.fit_validation_split(train.where("y = 0"), "vec_id"))
     fit, held = benign.where("is_validation = 0"), benign.where("is_validation = 1")
-    return D.search_autoencoder(fit, held, 64, [(32, 16), (16, 8)], steps=8)[1]
+    return D.search_autoencoder(fit, held, 64, [(32, 16), (16, 8), (48, 24), (64, 32, 16)])[1]
 
 
 @query("i4_latent_forest")
@@ -74,7 +76,7 @@ def i4(spark, sf_dir):
     rows, train, _ = split_vectors(spark, sf_dir)
     latent = D.latent_features(rows, D.fit_subspace(train.where("y = 0"), 8))
     benign = latent.where("y = 0 AND split = 'train'")
-    forest = D.fit_isolation_forest(benign, "vec_id", "latent_features", trees=20)
+    forest = D.fit_isolation_forest(benign, "vec_id", "latent_features")
     return _scores(forest.score(latent, "latent_features"))
 
 
@@ -111,7 +113,7 @@ def _heads(spark, sf_dir, fit):
 
 @query("i10_logistic_regression")
 def i10(spark, sf_dir):
-    return _heads(spark, sf_dir, lambda t: C.fit_logistic(C.with_class_weight(t, "klass"), "klass", CLASSES, "weight", maxIter=20))
+    return _heads(spark, sf_dir, lambda t: C.fit_logistic(C.with_class_weight(t, "klass"), "klass", CLASSES, "weight"))
 
 
 @query("i11_random_forest")
@@ -249,7 +251,11 @@ def i22(spark, sf_dir):
 def i23(spark, sf_dir):
     _, train, held = split_vectors(spark, sf_dir)
     head = C.fit_logistic(train, "y", [0, 1], maxIter=15)
-    return E.explain_sample(head, held, "vec_id", "klass", _FEW, dict.fromkeys(_FEW, 0.0), rows=200)
+    names = {f"e{i}": i for i in range(64)}
+    entries = vector_to_array("features")
+    medians = exact_quantiles(train.select(*[entries[i].alias(n) for n, i in names.items()]), list(names), [0.5])
+    reference = {n: medians[n][0] for n in names}
+    return E.class_contributions(E.contributions(head, held, "vec_id", "klass", names, reference), "klass")
 
 
 @query(

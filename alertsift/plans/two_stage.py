@@ -35,7 +35,7 @@ class Settings:
     benign_flows: int = S.BENIGN_SAMPLE
     attack_flows: int | None = None
     hidden: Sequence[int] = (128, 64, 32)
-    steps: int = 60
+    epochs: int = 20
     detector: str = "autoencoder"  # or "subspace", "isolation_forest"
     rank: int = 32
     head: dict = field(default_factory=lambda: {"rounds": 100, "depth": 6, "rate": 0.1})
@@ -98,10 +98,14 @@ class TwoStageJob:
             return D.fit_subspace(benign, min(s.rank, width))
         if s.detector == "isolation_forest":
             return D.fit_isolation_forest(benign, "packet_key", seed=s.seed)
-        return D.fit_autoencoder(benign, width, s.hidden, steps=s.steps, seed=s.seed)
+        return D.fit_autoencoder(benign, width, s.hidden, epochs=s.epochs, seed=s.seed)
 
     # -- second stage: flows, mapping, heads ----------------------------------------------
 
+    def rejected(self) -> DataFrame:
+        """Segments without a Flow ID, which belong to no logical flow."""
+        return self._stage("rejected_segments", lambda: A.read_flow_segments(self.spark, self.flow_path)[1])
+
     def unified(self) -> DataFrame:
         def build():
             segments, _ = A.read_flow_segments(self.spark, self.flow_path)
@@ -198,7 +202,12 @@ class TwoStageJob:
         missed = self.cohort().where("split = 'test' AND y2_alert = 0 AND y_true = 1").count()
         return {
             "bake_off": ranked,
+            "rejected": self.rejected().groupBy("source_file").agg(F.count("*").alias("segments")),
             "leakage": self.leakage(),
+            "leakage_after": MP.leakage_guard(self.clean_sample(), self.aligned(), self.candidates()),
+            "unscored": MP.reachable_flows(self.aligned(), self.candidates())
+            .join(self.scores(), "lfid", "left_anti")
+            .agg(F.count("*").alias("flows")),
             "coverage": MP.status_coverage(self.aligned()),
             "test_metrics": C.cascade_metrics(test, missed),
             "class_retention": C.class_retention(test),

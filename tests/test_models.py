@@ -79,8 +79,8 @@ def test_latent_vector_ends_with_the_error(clouds):
 
 def test_autoencoder_learns_and_repeats(clouds):
     benign = clouds.where("y = 0")
-    early = D.fit_autoencoder(benign, 6, (5, 2), steps=1)
-    late = D.fit_autoencoder(benign, 6, (5, 2), steps=60)
+    early = D.fit_autoencoder(benign, 6, (5, 2), epochs=1)
+    late = D.fit_autoencoder(benign, 6, (5, 2), epochs=40)
     loss = lambda m: m.score(benign).agg(F.avg("anomaly_score")).first()[0]
     assert loss(late) < 0.6 * loss(early)
     assert auc(late.score(clouds)) > 0.8

@@ -48,7 +48,7 @@ def capture_dirs(tmp_path_factory):
 
 def test_whole_job(spark, capture_dirs, tmp_path):
     settings = Settings(
-        benign_packets=300, packets_per_attack=50, benign_flows=200, attack_flows=200, hidden=(6, 3), steps=5,
+        benign_packets=300, packets_per_attack=50, benign_flows=200, attack_flows=200, hidden=(6, 3), epochs=3,
         head={"rounds": 2, "depth": 2, "rate": 0.3},
     )
     job = TwoStageJob(spark, *capture_dirs, str(tmp_path), settings)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstaged
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
         found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if found == mark or found["n"] == 0:
             break
-        mark = found
-        now = staged(_small(_large(now)), "edges")
+        mark, before = found, now
+        now = staged(_small(_large(before)), "edges")
+        unstaged(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

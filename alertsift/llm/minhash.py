@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import small_batches, staged
+from .common import small_batches, staged, unstaged
 from .graph import components
 
 BLOCK = 2048  # members of one bucket that one task compares with as many others
@@ -259,11 +259,13 @@ def near_duplicates(
     stars = staged(_star_pairs(buckets, classes, percent), "pairs")
     links = staged(_verified(stars, docs, id_col, text_col, width, percent), "links")
     parts = staged(components(links), "parts")
+    unstaged(stars, links)
     crossing = staged(_crossing_pairs(buckets, classes, parts, rows, percent), "pairs")
     more = staged(_verified(crossing, docs, id_col, text_col, width, percent), "links")
     whole = components(
         more.select("a", "b").unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
     )
+    unstaged(buckets, crossing, more, parts)
     of_class = (
         classes.select("digest", "rep")
         .join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left")

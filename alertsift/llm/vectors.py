@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstaged
 from .graph import components
 
 BLOCKS = 8
@@ -172,6 +172,7 @@ def near_duplicates(
         .select("rep", "copies", "vector", *slab, "task", "home", "guest")
     )
     found = staged(dealt.groupBy(*slab, "task").applyInPandas(_task(cosine), "a long, b long, n long"), "found")
+    unstaged(places)
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = components(found.select("a", "b")).withColumnRenamed("node", "rep")
     facts = with_id.join(counts, "rep", "left").join(parts, "rep", "left").select(

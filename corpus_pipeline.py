@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertsift.llm import minhash, packing, pii, quality, toxicity
-from alertsift.llm.common import staged, table
+from alertsift.llm.common import staged, table, unstaged
 from alertsift.llm.toxicity_query import held_out
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -76,5 +76,7 @@ ORACLE_SQL = None  # learnt scores and packing have no SQL form; tests hold a br
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if hasattr(before, "stage_path"):
+            unstaged(before)
     return STAGES[-1][1](spark, docs, sf_dir)

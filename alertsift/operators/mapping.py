@@ -102,15 +102,26 @@ def reachable_flows(aligned: DataFrame, cand: DataFrame, part: str | None = None
 LEAK_RULES = [("val", "train"), ("test", "train"), ("test", "val")]
 
 
+def _reach(aligned: DataFrame, cand: DataFrame, split: str) -> DataFrame:
+    """(lfid, _val, _test): which flows alerts of either part reach, in one pass over the candidates."""
+    part = lambda name: F.bool_or(F.coalesce(F.col(split) == name, F.lit(False))).alias(f"_{name}")
+    keys = aligned.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(part("val"), part("test"))
+    reached = cand.join(keys.where("_val OR _test"), KEY)
+    return reached.groupBy("lfid").agg(F.bool_or("_val").alias("_val"), F.bool_or("_test").alias("_test"))
+
+
 def leaking_rows(sample: DataFrame, aligned: DataFrame, cand: DataFrame, split: str = "split") -> DataFrame:
     """Sample rows (lfid, split) each guard rule hits, with the rule's name."""
-    parts = []
-    for alert_part, flow_part in LEAK_RULES:
-        hit = sample.where(F.col(split) == flow_part).join(
-            reachable_flows(aligned, cand, alert_part, split), "lfid", "left_semi"
+    rules = F.array_compact(
+        F.array(
+            *[
+                F.when((F.col(split) == flow_part) & F.col(f"_{alert_part}"), F.lit(f"cascade_{alert_part}_x_{flow_part}"))
+                for alert_part, flow_part in LEAK_RULES
+            ]
         )
-        parts.append(hit.withColumn("rule", F.lit(f"cascade_{alert_part}_x_{flow_part}")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    )
+    marked = sample.join(_reach(aligned, cand, split), "lfid")
+    return marked.select(*[F.col(f"`{c}`") for c in sample.columns], F.explode(rules).alias("rule"))
 
 
 def leakage_guard(sample: DataFrame, aligned: DataFrame, cand: DataFrame, split: str = "split") -> DataFrame:
@@ -130,10 +141,8 @@ def remove_leaks(
     sample: DataFrame, aligned: DataFrame, cand: DataFrame, split: str = "split"
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): drops train flows any alert reaches and val flows test alerts reach."""
-    test = reachable_flows(aligned, cand, "test", split).withColumn("_test", F.lit(True))
-    val = reachable_flows(aligned, cand, "val", split).withColumn("_val", F.lit(True))
-    marked = sample.join(test, "lfid", "left").join(val, "lfid", "left")
-    by_test, by_val = F.col("_test").isNotNull(), F.col("_val").isNotNull()
+    marked = sample.join(_reach(aligned, cand, split), "lfid", "left")
+    by_test, by_val = (F.coalesce(F.col(c), F.lit(False)) for c in ("_test", "_val"))
     leaks = ((F.col(split) == "train") & (by_test | by_val)) | ((F.col(split) == "val") & by_test)
     leaks = F.coalesce(leaks, F.lit(False))  # a row without a split leaks into none and is kept
     return marked.where(~leaks).drop("_test", "_val"), marked.where(leaks).drop("_test", "_val")

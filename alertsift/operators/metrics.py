@@ -206,7 +206,7 @@ def threshold_sweep(df: DataFrame, score: str, y: str, candidates: int = 200) ->
     Every score falls into the slot of the highest threshold it reaches; counts per slot
     (at most ``candidates`` rows) are then summed from the top.
     """
-    low, high = exact_quantiles(df, {"s": F.col(score)}, [0.01, 0.99])["s"]
+    low, high = (v or 0.0 for v in exact_quantiles(df, {"s": F.col(score)}, [0.01, 0.99])["s"])
     step, last = (high - low) / (candidates - 1), candidates - 1
     s = F.col(score).cast("double")
     tau = lambda i: F.lit(low) + i * F.lit(step)

@@ -139,7 +139,7 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 80) -> DataFrame:
     """Equal-width bins over the whole range with count and density per group."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    low, high = (v or 0.0 for v in df.agg(F.min(value), F.max(value)).first())  # without values there are no bins
     width = (high - low) / bins or 1.0
     slot = F.least(F.floor((_q(value) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counts = df.where(_q(value).isNotNull()).groupBy(*by, slot.alias("bin")).agg(F.count("*").alias("n"))
@@ -149,7 +149,7 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 80)
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 60) -> DataFrame:
     """Counts per cell of an equal-width grid."""
-    r = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    r = [v or 0.0 for v in df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()]
     cell = lambda c, low, high: F.least(
         F.floor((_q(c) - F.lit(low)) / F.lit((high - low) / bins or 1.0)), F.lit(bins - 1)
     ).cast("int")

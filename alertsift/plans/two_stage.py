@@ -6,6 +6,7 @@ executor costs no more than the stage at hand.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -50,7 +51,9 @@ class TwoStageJob:
         self.s = settings or Settings()
 
     def _stage(self, name: str, build) -> DataFrame:
-        return A.stage_table(self.spark, os.path.join(self.out, name), build)
+        """A stage table; changed settings or inputs get tables of their own."""
+        mark = hashlib.md5(repr((self.s, self.packet_path, self.flow_path)).encode()).hexdigest()[:8]
+        return A.stage_table(self.spark, os.path.join(self.out, f"{name}-{mark}"), build)
 
     # -- first stage: packets to alerts ---------------------------------------------------
 
@@ -171,7 +174,7 @@ class TwoStageJob:
         known = X.assemble(pre.apply(sample), pre.features).select("label", "y_binary", "split", "features").where("split <> 'test'")
         known = self._stage(f"matrix_{variant}", lambda: known).withColumn("stop", F.col("split") == "val")
         classes = [c for c in S.LABELS if c in {r[0] for r in known.select("label").distinct().collect()}]
-        mc = H.fit_boosted(known.where(~F.col("stop")), "label", classes, seed=self.s.seed, **self.s.head)
+        mc = H.fit_boosted(known, "label", classes, validation="stop", seed=self.s.seed, **self.s.head)
         binary = H.fit_boosted(known, "y_binary", [0, 1], validation="stop", seed=self.s.seed, **self.s.head)
         frame = X.assemble(pre.apply(reach), pre.features).select("lfid", "features")
         scored = mc.score(frame, f"pred_class_mc_{variant}").withColumn(f"s_mc_{variant}", H.attack_score(classes)).drop("probability")
@@ -184,7 +187,9 @@ class TwoStageJob:
 
     def decisions(self) -> DataFrame:
         def build():
-            per_key = C.key_scores(self.candidates(), self.scores(), self.HEADS)
+            keys = self.aligned().select(MP.KEY).where(F.col(MP.KEY).isNotNull()).distinct()
+            reached = self.candidates().join(keys, MP.KEY, "left_semi")  # other keys are looked up by no alert
+            per_key = C.key_scores(reached, self.scores(), self.HEADS)
             return C.alert_scores(self.aligned(), per_key, self.HEADS)
 
         return self._stage("decisions", build)

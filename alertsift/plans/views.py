@@ -57,7 +57,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("l_orderkey") % 13 != 0, F.col("l_extendedprice") / F.col("l_quantity"))
     df = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax",
-        (((F.col("l_orderkey") * 8 + line) * 131072 + part) * 8192 + supp).alias(TIE),
+        (((F.col("l_orderkey") * 8 + line) * 1048576 + part) * 32768 + supp).alias(TIE),
         capture.alias("source_file"),
         F.concat(F.lit("10.0.0."), text(F.when(line <= 2, supp % 5).otherwise(supp))).alias("src_ip"),
         F.concat(F.lit("10.1.0."), text(F.when(line <= 2, part % 4).otherwise(part))).alias("dst_ip"),
@@ -117,7 +117,7 @@ LABEL_SQL = """CASE WHEN source_file LIKE 'Benign%' THEN 'benign'
   WHEN contains(source_file, 'BruteForce') THEN 'brute_force' ELSE 'Unknown Attack' END"""
 
 SEGMENTS_SQL = f"""seg0 AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax,
-  ((l_orderkey * 8 + l_linenumber) * 131072 + l_partkey) * 8192 + l_suppkey AS segment_no,
+  ((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 32768 + l_suppkey AS segment_no,
   CASE l_orderkey % 8 WHEN 0 THEN 'BenignTraffic' WHEN 1 THEN 'BenignTraffic1' WHEN 2 THEN 'BenignTraffic2'
     WHEN 3 THEN 'DDoS-HTTP_Flood-' WHEN 4 THEN 'DoS-HTTP_Flood' WHEN 5 THEN 'DNS_Spoofing' WHEN 6 THEN 'XSS'
     ELSE 'DictionaryBruteForce' END || '.pcap_Flow.csv' AS source_file,

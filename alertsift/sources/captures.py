@@ -113,7 +113,9 @@ def stage_table(spark: SparkSession, path: str, build) -> DataFrame:
     """The Parquet table at ``path`` if it is there, else ``build()`` written there first."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         build().write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
 

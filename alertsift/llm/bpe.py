@@ -22,7 +22,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -174,9 +174,13 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.letters = byte_letters()
+        self._start(vocabulary.special)
+
+    def _start(self, special: dict[str, int]) -> None:
+        self.special_ids = special
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
-        names = sorted(vocabulary.special, key=len, reverse=True)
+        names = sorted(special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def _words_of(self, chunk: str) -> list[str]:
@@ -184,7 +188,7 @@ class Encoder:
         if self.special is not None and "<" in chunk and self.special.search(chunk):
             out = []
             for piece in self.special.split(chunk):
-                out += ["\0" + piece] if piece in self.v.special else self._words_of(piece) if piece else []
+                out += ["\0" + piece] if piece in self.special_ids else self._words_of(piece) if piece else []
             return out
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
@@ -196,11 +200,25 @@ class Encoder:
         return WORD.findall(low)
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Encodings of new chunks; new words are proposed, verified together and merged if need be."""
+        """Encodings of new chunks; their new words are encoded together."""
         split = {c: self._words_of(c) for c in chunks}
-        known = self.words if len(self.words) < CACHED_WORDS else {}
-        self.words = known
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
+        known = self.words
         new = list({w for words in split.values() for w in words if w not in known})
+        packed, ends = self._code(new)
+        known.update((w, packed[a:b]) for w, a, b in zip(new, [0, *ends], ends))
+        learnt = {c: known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words)) for c, words in split.items()}
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del known[w]
+        return learnt
+
+    def _code(self, new: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of all words in a row, and where each word ends in bytes.
+
+        Words are proposed, verified together, and merged if need be.
+        """
         letter, special = self.letters.__getitem__, self.v.special
         # Printable ASCII stands for itself.
         spelt = [w if w.isascii() and w.isprintable() else "".join(map(letter, w.encode("utf-8", "replace"))) for w in new]
@@ -216,13 +234,7 @@ class Encoder:
         for k in np.unique(word_of[inner[~good]]):
             proposals[k] = self.v.merge(spelt[k])
         packed = np.fromiter(chain.from_iterable(proposals), "<u4").tobytes()
-        ends = np.cumsum([4 * len(p) for p in proposals]).tolist()
-        known.update((w, packed[a:b]) for w, a, b in zip(new, [0, *ends], ends))
-        learnt = {c: known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words)) for c, words in split.items()}
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                del known[w]
-        return learnt
+        return packed, np.cumsum([4 * len(p) for p in proposals]).tolist()
 
     def _stretches(self, text: str) -> Iterator[str]:
         """Cuts at a blank or line feed, so no chunk is cut."""
@@ -259,7 +271,7 @@ class Encoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.chunks) > CACHED_CHUNKS:
             self.chunks = {"": b""}
-        missing = set().union(*split).difference(self.chunks)
+        missing = set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
         if missing:
             self.chunks.update(self._learn(missing))
         get = self.chunks.__getitem__

@@ -17,7 +17,9 @@ are packed each; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,15 @@ from . import bpe
 from .common import small_batches, staged
 
 LENGTH, WINDOW = 4096, 64 * 4096
+TOGETHER = 200  # words that go to the library as one text
 
 
 class LibraryEncoder(bpe.Encoder):
-    """Learns new chunks from the tokenizers library instead of the pair checks."""
+    """Encodes new words by the tokenizers library instead of the pair checks.
+
+    The words of a batch go to the library as one text. The vocabulary marks the end of every
+    word in its last token, which tells the words' ids apart again.
+    """
 
     def __init__(self, file: str):
         import os
@@ -43,12 +50,22 @@ class LibraryEncoder(bpe.Encoder):
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks = {"": b""}
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        new = list(chunks)
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, coded, strict=True)}
+        model = json.loads(file)
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        mark = model["model"]["end_of_word_suffix"]
+        self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(mark) or t in special]] = True
+        self._start(special)
+
+    def _code(self, new: list[str]) -> tuple[bytes, list[int]]:
+        words = [w[1:] if w[0] == "\0" and w[1:] in self.special_ids else w for w in new]
+        texts = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        return ids.tobytes(), (4 * ends).tolist()
 
 
 _MADE: dict[str, LibraryEncoder] = {}

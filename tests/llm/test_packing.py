@@ -84,3 +84,16 @@ def test_query_checksums(spark):
     pieces = packing.pack(df, PATH).collect()
     sums = {(r.doc_id, r.start, r.sequence_id): r.ids_crc32 for r in packing_query.digest(packing.pack(df, PATH)).collect()}
     assert all(sums[p.doc_id, p.start, p.sequence_id] == zlib.crc32(bytes(p.ids)) for p in pieces)
+
+
+def test_library_encoder_equals_the_library():
+    import random
+
+    from test_bpe import PIECES
+
+    with open(PATH, encoding="utf-8") as f:
+        encoder = packing.LibraryEncoder(f.read())
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for text, got in zip(texts, encoder.encode_many(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == REF.encode(text, add_special_tokens=False).ids, repr(text)

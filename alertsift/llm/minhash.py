@@ -39,6 +39,7 @@ from .graph import components
 
 BLOCK = 2048  # members of one bucket that one task compares with as many others
 PAIRS = 1 << 15  # pairs of registers compared at a time
+FEW = 64  # registers of a first look at a pair
 SIGMAS = 5
 
 
@@ -103,8 +104,8 @@ def _star_pairs(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFra
     def estimated(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series(sketch.estimate(_matrix(left), _matrix(right)))
 
-    # One of eight orders per bucket: members of one group then meet several leaders, but few.
-    order = F.xxhash64(F.col("rep"), F.pmod("bucket", F.lit(8)))
+    # Each bucket has its own order: members of one group meet as many leaders as they share bands.
+    order = F.xxhash64("rep", "bucket")
     leaders = (
         buckets.groupBy("bucket")
         .agg(F.min(F.struct(order.alias("order"), F.col("rep").alias("rep"))).alias("first"), F.count("*").alias("n"))
@@ -135,7 +136,7 @@ def _with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs that reach the threshold on their full shingle sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
     @F.pandas_udf("binary")
     def full_set(text: pd.Series) -> pd.Series:
@@ -189,6 +190,7 @@ def _crossing_pairs(buckets: DataFrame, classes: DataFrame, parts: DataFrame, ro
             if part.min() == part.max():
                 continue
             regs = _matrix(group["registers"])
+            some = np.ascontiguousarray(regs[:, :: sketch.BUCKETS // FEW])
             for at in range(0, len(left), max(1, PAIRS // len(right))):
                 rows_at = left[at : at + max(1, PAIRS // len(right))]
                 x, y = np.repeat(rows_at, len(right)), np.tile(right, len(rows_at))
@@ -199,6 +201,8 @@ def _crossing_pairs(buckets: DataFrame, classes: DataFrame, parts: DataFrame, ro
                 x, y = x[good], y[good]
                 if not len(x):
                     continue
+                hopeful = sketch.may_reach(some[x], some[y], percent / 100, SIGMAS)
+                x, y = x[hopeful], y[hopeful]
                 near = sketch.estimate(regs[x], regs[y]) >= floor
                 x, y = x[near], y[near]
                 if len(x):

@@ -75,3 +75,15 @@ def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     n = np.maximum(used.sum(axis=1), 1)
     agree = ((left == right) & used).sum(axis=1)
     return np.clip((agree - n * COLLISION) / (n * (1 - COLLISION)), 0.0, 1.0)
+
+
+def may_reach(left: np.ndarray, right: np.ndarray, share: float, sigmas: float) -> np.ndarray:
+    """Whether pairs may reach ``share`` by a part of their registers, within ``sigmas`` deviations.
+
+    Where few of these registers are used (small sets) the pair is let through.
+    """
+    used = ((left | right) != 0).sum(axis=1)
+    agree = ((left == right) & (left != 0)).sum(axis=1)
+    width = left.shape[1]
+    floor = share - sigmas * np.sqrt(share * (1 - share) / width)
+    return (4 * used < 3 * width) | (agree >= floor * used)

@@ -9,8 +9,10 @@
 3. Pairs whose collision-corrected Jaccard estimate and sizes allow a link are verified on the
    full sets, which are built again from the texts of the documents concerned.
 4. Verified links give components. In the buckets where several components still meet, all
-   pairs across components are estimated, block by block inside tasks; only those that pass
-   are sent on, verified, and join components. So no link is lost to the choice of leaders.
+   pairs across components are estimated, block by block inside tasks. Only members with a
+   possible pair come back with their full sets, and the same tasks then verify those pairs in
+   place and send on the links that join components. So no link is lost to the choice of leaders,
+   and the pairs themselves never become rows.
 
 The chance that a pair at the threshold shares no band is below 1e-5 (see ``rows_for``); a pair
 passes the estimate unless it errs by five standard deviations. Small sets have no such risk:
@@ -38,6 +40,7 @@ from .common import small_batches, staged, unstaged
 from .graph import components
 
 BLOCK = 2048  # members of one bucket that one task compares with as many others
+SET_BLOCK = 1024  # the same where their full sets are at hand
 PAIRS = 1 << 15  # pairs of registers compared at a time
 FEW = 64  # registers of a first look at a pair
 SIGMAS = 5
@@ -134,87 +137,140 @@ def _with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs that reach the threshold on their full shingle sets."""
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+def _full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(rep, set): the whole shingle sets of the classes in ``wanted``, built from their texts."""
 
     @F.pandas_udf("binary")
     def full_set(text: pd.Series) -> pd.Series:
         return text.map(lambda t: sketch.shingle_set(t, width).tobytes())
 
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        def check(a: bytes, b: bytes) -> bool:
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (len(x) + len(y) - both)
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("_text"))
+    sets = texts.join(wanted.hint("merge"), "rep").select("rep", full_set(F.coalesce("_text", F.lit(""))).alias("set"))
+    return sets.dropDuplicates(["rep"])  # rows with one id may hold several texts
 
-        return pd.Series([check(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("_text"))
-    sets = texts.join(needed.hint("merge"), "rep").select("rep", full_set(F.coalesce("_text", F.lit(""))).alias("set"))
-    return _with_both(pairs, sets).where(linked("set_a", "set_b")).select("a", "b").distinct()
+def _linked(a: bytes, b: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _crossing_pairs(buckets: DataFrame, classes: DataFrame, parts: DataFrame, rows: int, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components whose estimate allows a link.
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that reach the threshold on their full shingle sets."""
 
-    Buckets are cut into blocks of bounded size; a task compares two blocks and sends on what
-    passes. A pair is reported by the first band that its classes share.
+    @F.pandas_udf("boolean")
+    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_linked(a, b, percent) for a, b in zip(left, right, strict=True)], dtype=bool)
+
+    return _with_both(pairs, sets).where(linked("set_a", "set_b")).select("a", "b")
+
+
+def _near_pairs(group: pd.DataFrame, rows: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a group (one block against another of a bucket) in different components
+    whose estimate allows a link and that share no band before this bucket's."""
+    bucket, low, high = (group[c].iat[0] for c in ("bucket", "low", "high"))
+    rep, part, size = (group[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+    if part.min() == part.max():
+        return
+    side = group["block"].to_numpy()
+    left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    regs = _matrix(group["registers"])
+    some = np.ascontiguousarray(regs[:, :: sketch.BUCKETS // FEW])
+    step, floor = max(1, PAIRS // max(1, len(right))), least_estimate(percent)
+    for at in range(0, len(left), step):
+        rows_at = left[at : at + step]
+        x, y = np.repeat(rows_at, len(right)), np.tile(right, len(rows_at))
+        good = part[x] != part[y]
+        good &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+        if low == high:
+            good &= rep[x] < rep[y]
+        x, y = x[good], y[good]
+        hopeful = sketch.may_reach(some[x], some[y], percent / 100, SIGMAS)
+        x, y = x[hopeful], y[hopeful]
+        near = sketch.estimate(regs[x], regs[y]) >= floor
+        x, y = x[near], y[near]
+        if len(x):
+            key_x, filled_x = sketch.band_keys(regs[x], rows)
+            key_y, filled_y = sketch.band_keys(regs[y], rows)
+            first = ((key_x == key_y) & filled_x & filled_y).argmax(axis=1)
+            mine = key_x[np.arange(len(x)), first] == bucket
+            yield x[mine], y[mine]
+
+
+def _across(members: DataFrame, facts: DataFrame, block_size: int, visit, schema: str) -> DataFrame:
+    """``visit`` every pair of blocks of each bucket's ``members`` (bucket, rep, component).
+
+    Buckets of one component are left out. A block has about ``block_size`` members, so a task
+    holds two blocks at a time however large the bucket is.
     """
-    floor = least_estimate(percent)
-    named = buckets.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
     mixed = (
-        named.groupBy("bucket")
+        members.groupBy("bucket")
         .agg(F.count("*").alias("n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
         .where(F.col("_low") < F.col("_high"))
-        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("bucket", F.ceil(F.col("n") / block_size).cast("int").alias("blocks"))
     )
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    members = named.join(mixed, "bucket").withColumn("block", block)
-    # Block i meets every block j >= i: its rows go to (i, j), and those of j as the other side.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    meeting = members.withColumn("_o", other).select(
-        "bucket", "rep", "component", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block"
+    meeting = (
+        members.join(mixed, "bucket")
+        .withColumn("block", block)
+        .withColumn("_o", other)
+        .select("bucket", "rep", "component", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block")
     )
-    full = meeting.join(classes.select("rep", "n_shingles", "registers").hint("merge"), "rep")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _sorted_groups(batches, ["bucket", "low", "high"]):
-            bucket, low, high = (group[c].iat[0] for c in ("bucket", "low", "high"))
-            side = group["block"].to_numpy()
-            left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-            rep, part, size = (group[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-            if part.min() == part.max():
-                continue
-            regs = _matrix(group["registers"])
-            some = np.ascontiguousarray(regs[:, :: sketch.BUCKETS // FEW])
-            for at in range(0, len(left), max(1, PAIRS // len(right))):
-                rows_at = left[at : at + max(1, PAIRS // len(right))]
-                x, y = np.repeat(rows_at, len(right)), np.tile(right, len(rows_at))
-                good = part[x] != part[y]
-                good &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
-                if low == high:
-                    good &= rep[x] < rep[y]
-                x, y = x[good], y[good]
-                if not len(x):
-                    continue
-                hopeful = sketch.may_reach(some[x], some[y], percent / 100, SIGMAS)
-                x, y = x[hopeful], y[hopeful]
-                near = sketch.estimate(regs[x], regs[y]) >= floor
-                x, y = x[near], y[near]
-                if len(x):
-                    key_x, filled_x = sketch.band_keys(regs[x], rows)
-                    key_y, filled_y = sketch.band_keys(regs[y], rows)
-                    first = ((key_x == key_y) & filled_x & filled_y).argmax(axis=1)
-                    mine = key_x[np.arange(len(x)), first] == bucket
-                    a, b = rep[x[mine]], rep[y[mine]]
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
+    full = meeting.join(facts.hint("merge"), "rep")
     order = ["bucket", "low", "high"]
-    return full.repartition(*order).sortWithinPartitions(*order).mapInPandas(compare, "a long, b long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _sorted_groups(batches, order):
+            yield from visit(group)
+
+    return full.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, schema)
+
+
+def _crossing_members(buckets: DataFrame, classes: DataFrame, parts: DataFrame, rows: int, percent: int) -> DataFrame:
+    """(bucket, rep, component) of all members with a possible link to another component there."""
+    named = buckets.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+
+    def visit(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        met = [np.concatenate(pair) for pair in _near_pairs(group, rows, percent)]
+        if met:
+            yield group.iloc[np.unique(np.concatenate(met))][["bucket", "rep", "component"]]
+
+    facts = classes.select("rep", "n_shingles", "registers")
+    return _across(named, facts, BLOCK, visit, "bucket long, rep long, component long").distinct()
+
+
+def _crossing_links(members: DataFrame, classes: DataFrame, sets: DataFrame, rows: int, percent: int) -> DataFrame:
+    """(a, b): verified links that join different components, as few as a task needs for that.
+
+    All possible pairs are checked on their full sets, unless their components have met before
+    in the same task. The pairs stay inside the tasks.
+    """
+
+    def visit(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        rep, part, full = (group[c].to_numpy() for c in ("rep", "component", "set"))
+        found = []
+        for x, y in _near_pairs(group, rows, percent):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = find(int(part[i])), find(int(part[j]))
+                if a != b and _linked(full[i], full[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(rep[i]), int(rep[j])))
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    facts = classes.select("rep", "n_shingles", "registers").join(sets.hint("merge"), "rep")
+    return _across(members, facts, SET_BLOCK, visit, "a long, b long")
 
 
 def _sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -261,11 +317,13 @@ def near_duplicates(
     )
     buckets = staged(_buckets(classes, rows), "buckets")
     stars = staged(_star_pairs(buckets, classes, percent), "pairs")
-    links = staged(_verified(stars, docs, id_col, text_col, width, percent), "links")
+    wanted = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
+    links = staged(_verified(stars, _full_sets(wanted, docs, id_col, text_col, width), percent), "links")
     parts = staged(components(links), "parts")
     unstaged(stars, links)
-    crossing = staged(_crossing_pairs(buckets, classes, parts, rows, percent), "pairs")
-    more = staged(_verified(crossing, docs, id_col, text_col, width, percent), "links")
+    crossing = staged(_crossing_members(buckets, classes, parts, rows, percent), "members")
+    sets = _full_sets(crossing.select("rep").distinct(), docs, id_col, text_col, width)
+    more = staged(_crossing_links(crossing, classes, sets, rows, percent), "links")
     whole = components(
         more.select("a", "b").unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
     )

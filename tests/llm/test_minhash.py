@@ -59,6 +59,7 @@ def test_components_equal_brute_force(spark, width, percent):
 def test_chain_that_no_leader_covers(spark, monkeypatch):
     """A sliding window of words: neighbours link, others do not, so one component is one long chain."""
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 2)
     words = [f"w{k}" for k in range(120)]
     texts = [" ".join(words[k : k + 60]) for k in range(0, 48, 4)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -146,6 +146,15 @@ def test_multiclass_boosting_gives_probabilities(clouds):
     assert result.macro_f1 > 0.8 and 0 < result.log_loss < 1
 
 
+def test_multiclass_boosting_stops_early_per_class(clouds):
+    frame = clouds.withColumn("kind", F.col("id") % 3).withColumn("stop", F.col("id") % 4 == 0)
+    head = C.fit_boosted(frame, "kind", [0, 1, 2], rounds=12, validation="stop")
+    assert len(head.model) == 3 and min(m.getNumTrees for m in head.model) < 12  # the class is noise: no round helps
+    scored = head.score(frame)
+    assert scored.columns == [*frame.columns, "probability", "prediction"]
+    assert scored.where(F.abs(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).isEmpty()
+
+
 def test_stratified_dummy_follows_the_prior(spark):
     df = spark.range(4000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     head = C.fit_dummy(df, "y", [0, 1], "stratified", "id")

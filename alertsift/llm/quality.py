@@ -47,6 +47,12 @@ RULES = (
 )
 
 
+OUTPUTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    "mean_word_chars", "symbol_ratio", "stop_ratio", "dup_line_ratio", "base_failed", "failed_rules", "kept",
+)
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside 5-word windows that occur at least twice in the text.
 
@@ -104,29 +110,32 @@ def metrics(text: Column) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with the base counts, the ratios, ``base_failed``, ``failed_rules`` and ``kept``."""
-    m = F.col("__quality")
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    counts = {name: m[name] for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    ratios = {
-        "mean_word_chars": ratio(m["word_chars"], m["n_words"]),
-        "symbol_ratio": ratio(m["n_symbols"], m["n_words"]),
-        "stop_ratio": ratio(m["n_stop_words"] + 1, m["n_words"]),  # one more, so that short texts may have none
-        "dup_line_ratio": ratio(m["n_dup_lines"], m["n_lines"]),
-    }
-    measured = counts | ratios
-    base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-
-    def broken(rule: Rule) -> Column:
-        value, bad = measured[rule.metric], F.lit(False)
-        if rule.low is not None:
-            bad = bad | (value < rule.low)
-        if rule.high is not None:
-            bad = bad | (value > rule.high)
-        return F.when(bad, F.lit(rule.name))
-
-    failed = F.array_compact(F.array(*[broken(r) for r in rules]))
-    outputs = measured | {"base_failed": base, "failed_rules": failed, "kept": ~base & (F.size(failed) == 0)}
-    taken = {name.lower() for name in outputs}
+    def judged(m: Column) -> Column:
+        ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+        counts = {name: m[name] for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+        ratios = {
+            "mean_word_chars": ratio(m["word_chars"], m["n_words"]),
+            "symbol_ratio": ratio(m["n_symbols"], m["n_words"]),
+            "stop_ratio": ratio(m["n_stop_words"] + 1, m["n_words"]),  # one more, so that short texts may have none
+            "dup_line_ratio": ratio(m["n_dup_lines"], m["n_lines"]),
+        }
+        measured = counts | ratios
+        base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+
+        def broken(rule: Rule) -> Column:
+            value, bad = measured[rule.metric], F.lit(False)
+            if rule.low is not None:
+                bad = bad | (value < rule.low)
+            if rule.high is not None:
+                bad = bad | (value > rule.high)
+            return F.when(bad, F.lit(rule.name))
+
+        failed = F.array_compact(F.array(*[broken(r) for r in rules]))
+        outputs = measured | {"base_failed": base, "failed_rules": failed, "kept": ~base & (F.size(failed) == 0)}
+        return F.struct(*[c.alias(n) for n, c in outputs.items()])
+
+    # One expression holds all outputs, so that a filter on one of them computes the counts once.
+    whole = docs.withColumn("__quality", let(metrics(F.col(text)), judged))
+    taken = {name.lower() for name in OUTPUTS}
     rest = [c for c in docs.columns if c.lower() not in taken]
-    measured_docs = docs.withColumn("__quality", metrics(F.col(text)))
-    return measured_docs.select(*[F.col(f"`{c}`") for c in rest], *[c.alias(n) for n, c in outputs.items()])
+    return whole.select(*[F.col(f"`{c}`") for c in rest], *[F.col("__quality")[n].alias(n) for n in OUTPUTS])

@@ -11,6 +11,13 @@ Every line of a text is a unit, and so is the whole text. Defined cases: null an
 match nothing; a line of one word has no bigram; of equally close templates the first by name
 counts; repeated rows are scanned each; columns of the input that carry an output's name are
 replaced. Templates are a parameter and become part of the plan, so keep them to some hundreds.
+
+``scan`` compares lines and whole texts, ``notices`` finds a notice anywhere: wrapped over lines
+or inside a longer line. Its units are runs of consecutive bigrams of the text, across line
+feeds, of every length that the size bound allows a template. A run whose ends are not in the
+template is never closer than the run without them, so only runs between two bigrams of the
+template are compared, and only where enough of those lie together. Of runs that share a bigram
+the closest stays (then the one that shares most, the first, the shortest, the first name).
 """
 
 from __future__ import annotations
@@ -170,3 +177,89 @@ def scan(
     return docs.withColumn("matches", matches).withColumn(
         "licences", F.sort_array(F.array_distinct(F.transform("matches", lambda m: m["licence"])))
     )
+
+
+def notices(
+    docs: DataFrame, text_col: str = "text", templates: Sequence[Template] = TEMPLATES, least: tuple[int, int] = LEAST
+) -> DataFrame:
+    """``docs`` with ``notices``: for every licence notice in the text, by place, the number of its
+    first word and of its words, licence, shared bigrams, and the sizes of both sets."""
+    p, q = least
+    kinds = sorted((t for t in templates if t.bigrams()), key=lambda t: (t.name, t.text))
+    anchors = "|".join(g.replace(" ", "[^a-z0-9]+") for g in anchor_bigrams(templates, least))
+    hint = rf"(?i)(?<![a-z0-9])(?:{anchors})(?![a-z0-9])"
+    known = sorted({g for t in kinds for g in t.bigrams()})
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(t.name).alias("name"),
+                F.array(*map(F.lit, grams)).alias("grams"),
+                F.lit(math.ceil(p * len(grams) / (2 * q - p))).alias("least"),
+                F.lit((2 * q - p) * len(grams) // p).alias("reach"),
+            )
+            for t in kinds
+            for grams in [t.bigrams()]
+        ]
+    )
+    kind = "array<struct<far:double,less:int,first:int,last:int,licence:string,shared:int,size:int,template_size:int>>"
+
+    def span(low: Column, high: Column) -> Column:
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    def runs(grams: Column, hits: Column, t: Column) -> Column:
+        """All runs close to one template; ``hits`` are the places of its bigrams."""
+        at = lambda k: F.get(hits, k)
+        n, b = F.size(hits), F.size(t["grams"])
+        starts = F.filter(span(F.lit(0), n - t["least"]), lambda i: at(i + t["least"] - 1) - at(i) < t["reach"])
+
+        def from_start(i: Column) -> Column:
+            ends = F.filter(span(i + t["least"] - 1, F.least(n, i + t["reach"]) - 1), lambda e: at(e) - at(i) < t["reach"])
+
+            def run(e: Column) -> Column:
+                def compared(own: Column) -> Column:
+                    shared, size = F.size(F.array_intersect(own, t["grams"])), F.size(own)
+                    return F.struct(
+                        (-shared / (size + b)).alias("far"),
+                        (-shared).alias("less"),
+                        at(i).alias("first"),
+                        at(e).alias("last"),
+                        t["name"].alias("licence"),
+                        shared.alias("shared"),
+                        size.alias("size"),
+                        b.alias("template_size"),
+                    )
+
+                return let(F.array_distinct(F.slice(grams, at(i) + 1, at(e) - at(i) + 1)), compared)
+
+            return F.filter(F.transform(ends, run), lambda s: 2 * q * s["shared"] >= p * (s["size"] + s["template_size"]))
+
+        return F.flatten(F.transform(starts, from_start))
+
+    def found(grams: Column) -> Column:
+        places = F.filter(F.transform(grams, lambda g, k: F.struct(k.alias("at"), g.alias("gram"))), lambda s: s["gram"].isin(known))
+
+        def of(t: Column, seen: Column) -> Column:
+            own = F.transform(F.filter(seen, lambda s: F.array_contains(t["grams"], s["gram"])), lambda s: s["at"])
+            return let(own, lambda hits: runs(grams, hits, t))
+
+        return F.flatten(let(places, lambda seen: F.transform(table, lambda t: of(t, seen))))
+
+    def apart(close: Column) -> Column:
+        """The runs that share no bigram with a closer one that stays."""
+        meets = lambda kept, s: F.exists(kept, lambda k: (k["first"] <= s["last"]) & (k["last"] >= s["first"]))
+        return F.aggregate(
+            F.sort_array(close), F.array().cast(kind), lambda kept, s: F.when(meets(kept, s), kept).otherwise(F.concat(kept, F.array(s)).cast(kind))
+        )
+
+    words = F.array_remove(F.split(ascii_lower(F.col(text_col)), "[^a-z0-9]+"), "")
+    pairs = lambda w: F.transform(span(F.lit(0), F.size(w) - 2), lambda k: F.concat_ws(" ", F.get(w, k), F.get(w, k + 1)))
+    shown = F.transform(
+        apart(let(let(words, pairs), found).cast(kind)),
+        lambda s: F.struct(
+            (s["first"] + 1).alias("first_word"),
+            (s["last"] - s["first"] + 2).alias("words"),
+            *[s[c].alias(c) for c in ("licence", "shared", "size", "template_size")],
+        ),
+    )
+    none = F.array().cast("array<struct<first_word:int,words:int,licence:string,shared:int,size:int,template_size:int>>")
+    return docs.withColumn("notices", F.when(F.col(text_col).rlike(hint), F.sort_array(shown)).otherwise(none))

@@ -1,10 +1,15 @@
 """Detectors and heads: ranges, reproducibility, brute force where it is small, and beating baselines."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from alertsift import schema as S
+from alertsift.functions.keys import hash_order
 from alertsift.operators import classifiers as C
 from alertsift.operators import detectors as D
 from alertsift.operators import explain as E
@@ -172,6 +177,45 @@ def test_permutation_finds_the_used_feature(spark):
     assert {r.feature for r in contrib.collect()} == {"signal"}
 
 
+def test_permutation_drops_equal_one_feature_at_a_time(spark):
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("y"))
+    df = df.withColumn("features", array_to_vector(F.array(*[F.col("y") * w + F.rand(k) for k, w in enumerate((0.0, 0.2, 0.6))]))).cache()
+    head = C.fit_logistic(df, "y", [0, 1], maxIter=20)
+    entries = {"a": 0, "b": 1, "c": 2}
+    rows = {r.feature: r for r in E.permutation_importance(head, df, "y", "id", entries).collect()}
+    assert rows.keys() == entries.keys()
+    vectors = {r.id: (r.y, list(r.features)) for r in df.collect()}
+    scores = lambda frame: [(r.y, r.probability[1]) for r in head.score(frame).collect()]
+
+    def precision(pairs):
+        """Average precision; equal scores count as one step."""
+        out = 0.0
+        for score in {p for _, p in pairs}:
+            above = [y for y, p in pairs if p >= score]
+            out += sum(y for y, p in pairs if p == score) * sum(above) / len(above)
+        return out / sum(y for y, _ in pairs)
+
+    order = lambda seed: [r.id for r in df.orderBy(hash_order(F.col("id"), seed), "id").select("id").collect()]
+    base = precision(scores(df))
+    for name, at in entries.items():
+        drops = []
+        for r in range(3):
+            swapped = []
+            for mine, other in zip(order(S.SEED + 2 * r), order(S.SEED + 2 * r + 1)):
+                y, v = vectors[mine]
+                swapped.append((y, Vectors.dense([*v[:at], vectors[other][1][at], *v[at + 1 :]])))
+            drops.append(base - precision(scores(spark.createDataFrame(swapped, ["y", "features"]))))
+        assert rows[name].baseline == pytest.approx(base) and rows[name].mean_drop == pytest.approx(sum(drops) / 3, abs=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test data not present")
+def test_permutation_query_has_every_feature(spark):
+    from alertsift.plans import model_queries
+
+    rows = model_queries.i22(spark, "/root/testdata/sf0.001").collect()
+    assert {r.feature for r in rows} == {f"e{i}" for i in range(64)}
+
+
 def test_saved_model_scores_alike(spark, clouds, tmp_path):
     from pyspark.ml.classification import GBTClassificationModel
 

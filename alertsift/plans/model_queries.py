@@ -83,7 +83,7 @@ def i4(spark, sf_dir):
 @query("i5_cluster_purity")
 def i5(spark, sf_dir):
     rows, train, _ = split_vectors(spark, sf_dir)
-    return _scores(D.fit_cluster_purity(train, "y", k=20, components=16).score(rows))
+    return _scores(D.fit_cluster_purity(train, "y", k=300, components=30).score(rows))
 
 
 @query(
@@ -143,24 +143,26 @@ def i17(spark, sf_dir):
 
 @query("i18_perceptron")
 def i18(spark, sf_dir):
-    return _heads(spark, sf_dir, lambda t: C.fit_perceptron(t, "klass", CLASSES, (32,), maxIter=40))
+    return _heads(spark, sf_dir, lambda t: C.fit_perceptron(t, "klass", CLASSES))
 
 
-def flow_heads(spark, sf_dir, variants=("behaviour", "service"), rounds=3, classes=tuple(S.LABELS)):
-    """Per variant: the featurised flows and their multiclass and binary boosted heads."""
+def flow_heads(spark, sf_dir, variants=("behaviour", "service"), rounds=100, classes=tuple(S.LABELS)):
+    """Per variant: the featurised flows and their multiclass and binary boosted heads.
+
+    Both stop early on the validation rows, the multiclass head for each class.
+    """
     flows = materialise(PQ.V.unified_flows(spark, sf_dir))
     out = {}
     for variant in variants:
         frame, pre = PQ.model_frame(spark, sf_dir, variant, flows=flows)
         frame = materialise(frame.select("lfid", "label", "source_file", "service_aligned", "split", "y_binary", "features"))
-        train = frame.where("split = 'train'")
         fitted = frame.where("split <> 'test'").withColumn("stop", F.col("split") == "val")
         out[variant] = (
             frame,
             pre,
             {
-                "mc": C.fit_boosted(train, "label", list(classes), rounds=rounds, depth=3),
-                "bin": C.fit_boosted(fitted, "y_binary", [0, 1], rounds=rounds, depth=3, validation="stop"),
+                "mc": C.fit_boosted(fitted, "label", list(classes), rounds=rounds, depth=6, validation="stop"),
+                "bin": C.fit_boosted(fitted, "y_binary", [0, 1], rounds=rounds, depth=6, validation="stop"),
             },
         )
     return out
@@ -169,7 +171,7 @@ def flow_heads(spark, sf_dir, variants=("behaviour", "service"), rounds=3, class
 @query("i12_boosted_heads")
 def i12(spark, sf_dir):
     parts = None
-    for variant, (frame, _, heads) in flow_heads(spark, sf_dir, rounds=2).items():
+    for variant, (frame, _, heads) in flow_heads(spark, sf_dir).items():
         held = frame.where("split = 'val'")
         for kind, label, classes in (("mc", "label", S.LABELS), ("bin", "y_binary", [0, 1])):
             row = C.evaluate(heads[kind].score(held), label, classes).select(
@@ -225,7 +227,7 @@ def i19(spark, sf_dir):
 def i20(spark, sf_dir):
     aligned, cand = MQ.aligned_alerts(spark, sf_dir)
     wanted = materialise(MQ.mapping.reachable_flows(aligned, cand))
-    return score_flows(flow_heads(spark, sf_dir, rounds=1), wanted)
+    return score_flows(flow_heads(spark, sf_dir), wanted)
 
 
 @query("i21_importances")

@@ -216,6 +216,19 @@ def test_permutation_query_has_every_feature(spark):
     assert {r.feature for r in rows} == {f"e{i}" for i in range(64)}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test data not present")
+def test_flow_heads_have_the_whole_budget_and_stop_early(spark, monkeypatch):
+    from alertsift.plans import model_queries
+
+    asked = []
+    monkeypatch.setattr(C, "fit_boosted", lambda df, label, classes, **options: asked.append((label, df, options)))
+    model_queries.flow_heads(spark, "/root/testdata/sf0.001")
+    assert [label for label, _, _ in asked] == ["label", "y_binary"] * 2
+    for _, df, options in asked:
+        assert options == {"rounds": 100, "depth": 6, "validation": "stop"}
+        assert {r.stop for r in df.select("stop").distinct().collect()} == {False, True}
+
+
 def test_saved_model_scores_alike(spark, clouds, tmp_path):
     from pyspark.ml.classification import GBTClassificationModel
 

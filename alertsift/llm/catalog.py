@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("quality_query", "bpe_query", "toxicity_query", "urls_query", "minhash_query", "chat_query", "vectors_query", "packing_query", "pii_query", "licenses_query", "mixing_query", "negatives_query")
+MODULES = ("quality_query", "bpe_query", "toxicity_query", "urls_query", "minhash_query", "chat_query", "vectors_query", "packing_query", "pii_query", "licenses_query", "mixing_query", "negatives_query", "repair_query")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

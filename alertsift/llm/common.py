@@ -18,6 +18,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(items: Column, begin: Column, step: Callable, out: Callable, kind: str, size: int = 256) -> Column:
+    """``out(state, item)`` of every item of an array, where ``step(state, item)`` gives the next item's state.
+
+    ``kind`` is the type of an output. The items go in pieces of ``size``, so that a long array is not copied
+    for each of its items.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def inside(acc: Column, item: Column) -> Column:
+        return F.struct(step(acc["state"], item).alias("state"), F.array_append(acc["made"], out(acc["state"], item)).alias("made"))
+
+    def piece(whole: Column) -> Callable[[Column, Column], Column]:
+        def take(acc: Column, k: Column) -> Column:
+            start = F.struct(acc["state"].alias("state"), none.alias("made"))
+            done = F.aggregate(F.slice(whole, k * size + 1, F.lit(size)), start, inside)
+            return let(done, lambda d: F.struct(d["state"].alias("state"), F.array_append(acc["made"], d["made"]).alias("made")))
+
+        return take
+
+    def whole(array: Column) -> Column:
+        start = F.struct(begin.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("made"))
+        pieces = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / size).cast("int"))
+        found = F.aggregate(pieces, start, piece(array), lambda acc: F.flatten(acc["made"]))
+        return F.when(F.size(array) > 0, found).otherwise(none)
+
+    return let(items, whole)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order, an empty array for a null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")

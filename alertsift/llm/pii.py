@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running
 
 # The four base patterns. A match starts where its first run starts, or where the
 # last match ended (\G), since a later start in the same run could only fail in the same way.
@@ -37,7 +37,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 KINDS = ("email", "ip", "card", "phone", "secret")
-SPAN = "array<struct<start:int,stop:int,text:string,left:string>>"
+_SPAN = "struct<start:int,stop:int,text:string,left:string>"
+SPAN = f"array<{_SPAN}>"
 CONTEXT = 32
 
 
@@ -80,21 +81,17 @@ def spans(text: Column, pattern: str, hint: str) -> Column:
     The pieces between the matches give the places: Spark returns matches without them.
     """
 
-    def place(state: Column, pair: Column) -> Column:
-        gap, match = pair["gaps"], pair["found"]
-        start = state["at"] + F.length(gap)
-        stop = start + F.length(match)
-        item = F.struct(start.alias("start"), stop.alias("stop"), match.alias("text"), F.right(gap, F.lit(CONTEXT)).alias("left"))
-        return F.when(match.isNull(), state).otherwise(
-            F.struct(stop.alias("at"), F.array_append(state["out"], item).alias("out"))
-        )
+    def place(at: Column, pair: Column) -> Column:
+        start = at + F.length(pair["gaps"])
+        stop, left = start + F.length(pair["found"]), F.right(pair["gaps"], F.lit(CONTEXT))
+        return F.struct(start.alias("start"), stop.alias("stop"), pair["found"].alias("text"), left.alias("left"))
 
     pairs = F.arrays_zip(
         F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     )
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(pairs, begin, place, lambda s: s["out"])
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast(SPAN))
+    past = lambda at, pair: at + F.length(pair["gaps"]) + F.coalesce(F.length(pair["found"]), F.lit(0))
+    found = running(pairs, F.lit(0), past, place, _SPAN)
+    return F.when(text.rlike(hint), F.filter(found, lambda s: s["text"].isNotNull())).otherwise(F.array().cast(SPAN))
 
 
 def _named(found: Column, kind: str) -> Column:
@@ -141,7 +138,7 @@ FORM = {
 SHAPE = {
     "email": r"^[^ (\[]{2,}",
     "phone": r"^[^.\x20-]+([.\x20-])\d+(?:\1\d+)+$",
-    "secret": r"(?:[0-9]+[A-Za-z]+){3}",
+    "secret": r"(?<![0-9])(?:[0-9]++[A-Za-z]++){3}",
 }
 LABELERS = ("form", "shape", "gazetteer", "context", "against")
 
@@ -237,15 +234,46 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     return Model(reliability, float(w[0]), {(f, plain(v)): float(b) for (f, v), b in zip(columns, w[1:], strict=True)})
 
 
+_PLACED = "struct<start:int,added:int,place:int,stop:int,kind:string,reached:int,next:int>"
+
+
+def _apart(base: Column, added: Column) -> Column:
+    """The spans of ``added`` that touch no base span, by a scan in each direction."""
+    last = 2**31 - 1
+
+    def marked(spans: Column, mark: int) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"), F.lit(mark).alias("added"), s["place"].alias("place"), s["stop"].alias("stop"),
+                s["kind"].alias("kind"), F.lit(0).alias("reached"), F.lit(last).alias("next"),
+            ),
+        )
+
+    of_base = lambda s, value, other: F.when(s["added"] == 0, value).otherwise(other)
+    forth = running(
+        F.sort_array(F.concat(marked(base, 0), marked(added, 1))),
+        F.lit(0),
+        lambda at, s: of_base(s, F.greatest(at, s["stop"]), at),
+        lambda at, s: s.withField("reached", at),
+        _PLACED,
+    )
+    back = running(
+        F.reverse(forth), F.lit(last), lambda at, s: of_base(s, s["start"], at), lambda at, s: s.withField("next", at), _PLACED
+    )
+    free = F.filter(back, lambda s: (s["added"] == 1) & (s["reached"] <= s["start"]) & (s["next"] >= s["stop"]))
+    return F.transform(free, lambda s: F.struct(*[s[n].alias(n) for n in ("start", "place", "stop", "kind")]))
+
+
 def find(docs: DataFrame, model: Model, text_col: str = "text", odds: float = 1.0) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, place, stop, kind), in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def merged(base: Column) -> Column:
         accepted = F.filter(candidates(text), lambda c: model.odds(c) >= odds)
-        free = F.filter(accepted, lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-        plain = F.transform(free, lambda c: F.struct(*[c[n].alias(n) for n in ("start", "place", "stop", "kind")]))
-        return F.struct(base.alias("base"), F.sort_array(F.concat(base, plain)).alias("spans"))
+        plain = F.transform(accepted, lambda c: F.struct(*[c[n].alias(n) for n in ("start", "place", "stop", "kind")]))
+        spans = let(plain, lambda p: F.when(F.size(p) > 0, F.sort_array(F.concat(base, _apart(base, p)))).otherwise(base))
+        return F.struct(base.alias("base"), spans.alias("spans"))
 
     both = docs.withColumn("_both", let(base_spans(text), merged))
     return both.withColumns({"base": F.col("_both.base"), "spans": F.col("_both.spans")}).drop("_both")
@@ -260,16 +288,36 @@ def listed(found: Column) -> Column:
 def redact(text: Column, found: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; overlapping spans become one."""
 
-    def cut(state: Column, s: Column) -> Column:
-        before = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = F.concat(state["out"], F.array(before, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"),
-            F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"),
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(
-        found, begin, cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text)))
-    )
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+    size = 256
+
+    def cut(region: Column, begin: Column) -> Callable[[Column, Column], Column]:
+        def one(state: Column, s: Column) -> Column:
+            before = F.substr(region, state["at"] - begin + 1, s["start"] - state["at"])
+            fresh = F.array_append(state["out"], F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.struct(
+                F.greatest(state["at"], s["stop"]).alias("at"),
+                F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"),
+            )
+
+        return one
+
+    def piece(state: Column, k: Column) -> Column:
+        """Up to ``size`` spans, cut from their own stretch of the text."""
+
+        def inside(spans: Column) -> Column:
+            until = F.greatest(state["at"], F.array_max(F.transform(spans, lambda s: s["stop"])))
+            region = F.substr(text, state["at"] + 1, until - state["at"])
+            start = F.struct(state["at"].alias("at"), none.alias("out"))
+            done = let(region, lambda r: F.aggregate(spans, start, cut(r, state["at"])))
+            return let(
+                done,
+                lambda d: F.struct(d["at"].alias("at"), F.array_append(state["out"], F.array_join(d["out"], "")).alias("out")),
+            )
+
+        return let(F.slice(found, k * size + 1, F.lit(size)), inside)
+
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    pieces = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / size).cast("int"))
+    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(found) > 0, F.aggregate(pieces, begin, piece, rest)).otherwise(text)

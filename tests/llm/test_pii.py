@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -54,6 +55,47 @@ def test_long_runs_neither_overflow_nor_stall(spark):
     assert {r.doc_id: r.n for r in rows}[2] == 1
 
 
+def test_many_spans_in_one_text(spark):
+    mails = " ".join(f"a{k}@b.c" for k in range(20_000))
+    tokens = " ".join(f"token {random.Random(k).randbytes(20).hex()} x{k}@y.org" for k in range(5_000))
+    df = spark.createDataFrame([(1, mails), (2, tokens)] + [(k, "key = " + random.Random(k).randbytes(24).hex()) for k in range(10, 30)], "doc_id long, text string")
+    start = time.time()
+    found = pii.find(df, pii.fit(df)).withColumn("clean", pii.redact(F.col("text"), F.col("spans")))
+    rows = {r.doc_id: r for r in found.collect()}
+    assert time.time() - start < 60
+    assert ",".join(f"{s.kind}:{s.start}:{s.stop}" for s in rows[1].base) == brute(mails)
+    assert rows[1].clean == " ".join(["[EMAIL]"] * 20_000)
+    assert rows[2].clean.count("[EMAIL]") == 5_000 and rows[2].clean.count("[SECRET]") > 4_900
+
+
+def overlapping_ones(base, added):
+    return [a for a in added if not any(b[0] < a[2] and a[0] < b[2] for b in base)]
+
+
+def test_apart_and_redact_equal_plain_loops(spark):
+    rng, rows = random.Random(9), []
+    for k in range(300):
+        def some(place, kind, n):
+            out = []
+            for _ in range(n):
+                start = rng.randrange(600)
+                out.append((start, place, start + rng.randrange(1, 9), kind))
+            return sorted(out)
+        rows.append((k, "".join(rng.choice("ab é😀") for _ in range(700)), some(0, "email", k), some(4, "secret", rng.randrange(300))))
+    span = "array<struct<start:int,place:int,stop:int,kind:string>>"
+    df = spark.createDataFrame(rows, f"k long, text string, base {span}, added {span}")
+    got = df.select("k", pii._apart(F.col("base"), F.col("added")).alias("free"), pii.redact(F.col("text"), F.col("base")).alias("clean"))
+    for r in got.collect():
+        _, text, base, added = rows[r.k]
+        assert sorted(tuple(s) for s in r.free) == sorted(overlapping_ones(base, added))
+        out, at = "", 0
+        for start, _, stop, kind in base:
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, stop)
+        assert r.clean == out + text[at:]
+
+
 def test_method_adds_spans_and_keeps_base(spark):
     plain = ["mail me at a.b@c.org or +1 (202) 555-0199 now", "nothing to see", "commit 0123456789abcdef0123456789abcdef01234567"]
     secret = [f'token = "{random.Random(k).randbytes(20).hex()}" end' for k in range(12)]

@@ -32,6 +32,15 @@ def test_round_trip_of_odd_texts(spark):
 
 
 RECORDS = [
+    ({"messages": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}, "messages:from/value", [("user", "hi"), ("assistant", "yo")]),
+    ({"prompt": "p", "completion": "c", "messages": []}, "completion", [("user", "p"), ("assistant", "c")]),
+    ({"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": None}]}, "messages", [("user", "q"), ("assistant", "")]),
+    ({"messages": [{"role": "user"}]}, "messages", [("user", "")]),
+    ({"messages": [{"role": "user", "body": "lost?"}]}, None, None),
+    ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "body": "lost?"}]}, None, None),
+    ({"messages": [{"role": "user", "content": "q"}, {"from": "gpt", "value": "a"}]}, None, None),
+    ({"conversations": [], "messages": []}, "conversations", []),
+    ({"turns": [{"role": "user", "text": "q"}], "conversations": []}, "turns", [("user", "q")]),
     ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 3}, "messages", [("user", "q"), ("assistant", "a")]),
     ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "conversations", [("user", "q"), ("assistant", "a")]),
     ({"instruction": "do", "input": "x", "output": "y"}, "instruction", [("user", "do\n\nx"), ("assistant", "y")]),
@@ -49,7 +58,7 @@ def test_mixed_layouts_in_json(spark):
         assert rows[k].layout == layout
         assert (rows[k].canonical and [tuple(t) for t in rows[k].canonical]) == turns
     assert rows[99].layout is None and rows[98].layout is None
-    assert rows[2].fingerprint != rows[3].fingerprint
+    assert rows[11].fingerprint != rows[12].fingerprint
 
 
 def test_typed_columns_and_empty(spark):

@@ -14,7 +14,8 @@ The evidence of a text sums -log of that expectation over its segments, and a lo
 fitted on the labelled documents turns evidence into a score from 0 to 1.
 
 Bounds that are parameters of the fit: ``fit_rows`` labelled documents at most (about; chosen by
-a hash of their id, all of them below that number) and ``lexicon`` terms of the highest z.
+a hash of their id, all of them below that number) and ``lexicon`` terms of the highest z, with four times as
+many longer terms below them: a beginning whose longer terms do not fit any more is given up with them.
 
 Defined cases: null and blank texts have no evidence and get the curve's value there; texts of any
 length are scanned once; repeated rows are scored each; labels that are null are unused, of
@@ -170,10 +171,17 @@ def learn(
         .withColumn("head", F.explode(_terms(F.regexp_replace("term", r"\$$", ""))))
         .where(F.col("head") != F.col("term"))
         .join(F.broadcast(heads), "head")
-        .select("term", "ratio")
-        .distinct()
     )
-    known = {r["term"]: r["ratio"] for r in top} | {r["term"]: r["ratio"] for r in below.limit(4 * lexicon).collect()}
+    # A beginning whose exceptions do not fit is given up itself, so that no exception is lost.
+    exceptions = {r["head"]: r["count"] for r in below.groupBy("head").count().collect()}
+    room, kept = 4 * lexicon, []
+    for r in top:
+        if exceptions.get(r["term"], 0) <= room:
+            room -= exceptions.get(r["term"], 0)
+            kept.append(r)
+    given_up = docs.sparkSession.createDataFrame([(t,) for t in {r["term"] for r in top} - {r["term"] for r in kept}], "head string")
+    rest = below.join(F.broadcast(given_up), "head", "left_anti").select("term", "ratio").distinct()
+    known = {r["term"]: r["ratio"] for r in kept} | {r["term"]: r["ratio"] for r in rest.collect()}
     draft = Model(known, 1.0, 1.0, (0.0, 0.0, 0.0))
     return _calibrated(texts, draft)
 

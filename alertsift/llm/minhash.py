@@ -21,8 +21,9 @@ they differ in fewer registers than they have bands.
 Tables that grow with the corpus are joined by merging (a hint), never by broadcasting.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text shorter
-than a shingle is one shingle; rows with equal ids or texts are copies; a row without an id has
-no component and is kept; other columns are ignored.
+than a shingle is one shingle; rows with equal texts are copies; rows of one id with different texts are
+rows of their own, each in its own group; a row without an id has no component and is kept; an empty
+table gives an empty table; other columns are ignored, also if they are named like an output.
 """
 
 from __future__ import annotations
@@ -60,7 +61,10 @@ def least_estimate(percent: int) -> float:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, size of the shingle set, digest of the set and its sketch; the last two null if empty."""
+    """id, mark, size of the shingle set, digest of the set and its sketch; the last two null if empty.
+
+    ``mark`` is a hash of the text: with the id it names a row also where ids repeat.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -73,11 +77,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                     rows.append((0, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "registers"])
             out.insert(0, "id", batch["id"].to_numpy())
+            out.insert(1, "mark", batch["mark"].to_numpy())
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        sign, "id long, n_shingles long, digest binary, registers binary"
-    )
+    text = F.col(f"`{text_col}`")
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return named.mapInPandas(sign, "id long, mark long, n_shingles long, digest binary, registers binary")
 
 
 def _matrix(binary: pd.Series) -> np.ndarray:
@@ -137,16 +142,27 @@ def _with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs
 
 
-def _full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(rep, set): the whole shingle sets of the classes in ``wanted``, built from their texts."""
+def _full_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """(rep, set): the whole shingle sets of the classes in ``wanted``, built from their texts (id, text).
+
+    If an id has several texts, the one whose set has the class's digest counts.
+    """
 
     @F.pandas_udf("binary")
     def full_set(text: pd.Series) -> pd.Series:
         return text.map(lambda t: sketch.shingle_set(t, width).tobytes())
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("_text"))
-    sets = texts.join(wanted.hint("merge"), "rep").select("rep", full_set(F.coalesce("_text", F.lit(""))).alias("set"))
-    return sets.dropDuplicates(["rep"])  # rows with one id may hold several texts
+    @F.pandas_udf("boolean")
+    def fits(full: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([sketch.digest(np.frombuffer(s, np.uint64)) == d for s, d in zip(full, digest, strict=True)], dtype=bool)
+
+    whole = full_set(F.coalesce("text", F.lit(""))).alias("set")
+    if not repeated:
+        sets = texts.withColumnRenamed("id", "rep").join(wanted.hint("merge"), "rep").select("rep", whole)
+        return sets.dropDuplicates(["rep"])  # equal rows
+    named = wanted.join(classes.select("rep", "first", "digest").hint("merge"), "rep").withColumnRenamed("first", "id")
+    sets = texts.join(named.hint("merge"), "id").select("rep", "digest", whole)
+    return sets.where(fits("set", "digest")).dropDuplicates(["rep"]).select("rep", "set")
 
 
 def _linked(a: bytes, b: bytes, percent: int) -> bool:
@@ -305,38 +321,82 @@ def near_duplicates(
 
     Documents link when 100 * intersection >= percent * union of their shingle sets.
     """
-    small_batches(docs.sparkSession)
-    rows = rows_for(percent)
-    signed = staged(signatures(docs, id_col, text_col, width), "signatures")
-    with_id = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    found = _grouped(docs, id_col, text_col, width, percent)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _classes(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """One row per digest: ``first``, its least id, and ``rep``, which names it as a node.
+
+    The least id is the name, unless several classes have it: those are named by a hash of their digest.
+    The flag tells whether there are any.
+    """
     classes = staged(
-        with_id.groupBy("digest").agg(
-            F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
-        ),
+        signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
+        .groupBy("digest")
+        .agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+        .withColumn("rep", F.col("first")),
         "classes",
     )
+    shared = classes.groupBy("first").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    if shared.isEmpty():
+        return classes, False
+    named = classes.join(shared.hint("merge"), "first", "left")
+    return staged(named.withColumn("rep", F.when(F.col("_n") > 1, F.xxhash64("digest")).otherwise(F.col("first"))).drop("_n"), "classes"), True
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Per row: id, mark, n_shingles, node (of its group; null if the row links with nothing), component_id and kept."""
+    small_batches(docs.sparkSession)
+    rows = rows_for(percent)
+    signed = staged(signatures(docs, id_col, text_col, width), "signatures")
+    classes, repeated = _classes(signed)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     buckets = staged(_buckets(classes, rows), "buckets")
     stars = staged(_star_pairs(buckets, classes, percent), "pairs")
     wanted = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
-    links = staged(_verified(stars, _full_sets(wanted, docs, id_col, text_col, width), percent), "links")
+    links = staged(_verified(stars, _full_sets(wanted, classes, texts, width, repeated), percent), "links")
     parts = staged(components(links), "parts")
     unstaged(stars, links)
     crossing = staged(_crossing_members(buckets, classes, parts, rows, percent), "members")
-    sets = _full_sets(crossing.select("rep").distinct(), docs, id_col, text_col, width)
+    sets = _full_sets(crossing.select("rep").distinct(), classes, texts, width, repeated)
     more = staged(_crossing_links(crossing, classes, sets, rows, percent), "links")
     whole = components(
         more.select("a", "b").unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
     )
     unstaged(buckets, crossing, more, parts)
     of_class = (
-        classes.select("digest", "rep")
+        classes.select("digest", "rep", "first")
         .join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("digest", F.coalesce("component", "rep").alias("component"))
+        .select("digest", "first", F.coalesce("component", "rep").alias("node"))
     )
+    if repeated:  # a node's name need not be an id: the least id of a group is looked up
+        least = of_class.groupBy("node").agg(F.min("first").alias("component"))
+        of_class = of_class.join(least.hint("merge"), "node")
+    else:
+        of_class = of_class.withColumn("component", F.col("node"))
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return signed.join(of_class, "digest", "left").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        own.alias("component_id"),
-        F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"),
+    return signed.join(of_class.drop("first"), "digest", "left").select(
+        "id", "mark", "n_shingles", "node", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept")
+    )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near-duplicates, one of the least id.
+
+    Of several rows of a group with that id the least by its other columns stays. Rows of one id whose texts
+    differ are told apart. Rows without an id or without words stay.
+    """
+    found = staged(_grouped(docs, id_col, text_col, width, percent), "grouped")
+    key = ["_id", "_mark"]
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(f"`{text_col}`").alias("_mark"), F.struct("*").alias("_doc"))
+    of = lambda table, *more: table.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), *more)
+    left = named.join(of(found.where(~F.col("kept"))).distinct(), key, "left_anti")
+    several = (
+        found.where("kept and id is not null and node is not null").groupBy("node").count().where("count > 1").select("node")
     )
+    again = of(found.where("kept").join(several, "node"), "node").distinct()
+    least = left.join(again, key).groupBy("node").agg(F.min("_doc").alias("_doc"))
+    return left.join(again, key, "left_anti").select("_doc").unionByName(least.select("_doc")).select("_doc.*")

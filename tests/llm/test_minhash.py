@@ -86,3 +86,31 @@ def test_estimate_is_unbiased_and_registers_hold_the_minimum():
         b = np.unique(sketch._mixed(np.concatenate([common, own[100:]])))
         errors.append(sketch.estimate(sketch.registers(a)[None], sketch.registers(b)[None])[0] - 0.8)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Rows of one id are rows of their own: no link of any of them is lost, and none is gained."""
+    rng = random.Random(8)
+    texts = [t for t in corpus(rng) if shingles(t, 5)]
+    ids = [rng.choice([1, 2, 3, 500 + k]) for k in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, node string").repartition(4)
+    part = [p for _, p in brute(texts, 5, 80)]
+    least = {p: min(ids[k] for k in range(len(texts)) if part[k] == p) for p in set(part)}
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == sorted((i, len(shingles(t, 5)), least[p], i == least[p]) for i, t, p in zip(ids, texts, part, strict=True))
+    stay = minhash.one_of_each(df)
+    assert stay.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in stay.collect()]
+    rows = list(zip(ids, texts, part, strict=True))
+    want = [min((i, t) for i, t, q in rows if q == p) for p in set(part)]
+    assert sorted(kept) == sorted(want)
+
+
+def test_unique_text_under_a_repeated_id_stays(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (2, a), (2, b), (1, a), (None, b + " x"), (None, None), (3, ""), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(minhash.one_of_each(df).collect(), key=str)
+    assert [tuple(r) for r in got] == sorted([(1, a), (2, b), (None, b + " x"), (None, None), (3, ""), (3, "")], key=lambda r: f"Row(doc_id={r[0]!r}, text={r[1]!r})")
+    linked = {(r.doc_id, r.n_shingles): r for r in minhash.near_duplicates(spark.createDataFrame([(1, a), (1, b), (2, b + " x")], "doc_id long, text string")).collect()}
+    assert linked[2, 57].component_id == 1 and not linked[2, 57].kept

@@ -82,8 +82,9 @@ def test_targets(spark):
 def test_query_checksums(spark):
     _, df = docs(spark, 20)
     pieces = packing.pack(df, PATH).collect()
-    sums = {(r.doc_id, r.start, r.sequence_id): r.ids_crc32 for r in packing_query.digest(packing.pack(df, PATH)).collect()}
-    assert all(sums[p.doc_id, p.start, p.sequence_id] == zlib.crc32(bytes(p.ids)) for p in pieces)
+    sums = {(r.sequence_id, r.offset): r.ids_crc32 for r in packing_query.digest(packing.pack(df, PATH)).collect()}
+    assert len(sums) == len(pieces)
+    assert all(sums[p.sequence_id, p.offset] == zlib.crc32(bytes(p.ids)) for p in pieces)
 
 
 def test_library_encoder_equals_the_library():

@@ -40,7 +40,7 @@ def test_equal_to_brute_force(spark, monkeypatch, size):
         base = rng.normal(size=size)
         data.append(base * rng.uniform(0.1, 9))
         for k in range(12):
-            data.append(near(rng, base, 0.93 + 0.005 * k) if size > 1 else base * rng.choice([-1.0, 2.0]))
+            data.append(near(rng, base, 0.9275 + 0.005 * k) if size > 1 else base * rng.choice([-1.0, 2.0]))
     rows = [(k, [float(x) for x in np.atleast_1d(v)]) for k, v in enumerate(data)]
     rows += [(900, None), (901, []), (902, [0.0] * size), (903, [float("nan")] * size), (904, [None] * size), (905, [float("inf")] + [1.0] * (size - 1))]
     rows += [(906, rows[3][1]), (907, rows[3][1]), (908, [1.0] * (size + 1))]

@@ -3,6 +3,11 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a table:
 the columns of documents for all stages but the last, which returns the pieces of packed
 sequences. Every stage works on all rows that its predecessor kept.
+
+Defined cases: columns beyond those of documents are left out; an empty table goes through all stages; a
+null or empty text fails the quality rules (too few words); rows without an id are judged like others and
+never count as the copy of another row; rows that repeat an id are told apart by their text, and of equal
+rows one stays; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -31,17 +36,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the least id.
-
-    Of several rows with that id one stays: the least by its other columns.
-    """
-    found = minhash.near_duplicates(docs)
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    """One document of each near-duplicate group, the one of the least id."""
+    return minhash.one_of_each(docs.select(*COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from .. import schema as S
 from ..functions.keys import hash_order
 from ..session import bounded, join_groups, materialise
 from . import metrics as M
+from . import trees
 
 
 @dataclass(frozen=True)
@@ -109,18 +110,12 @@ def fit_boosted(
     model = many.fit(index_labels(df, label, classes))
 
     def probabilities(frame: DataFrame) -> DataFrame:
-        shares = _softmax(vector_to_array("rawPrediction"))
+        shares = trees.softmax(vector_to_array("rawPrediction"))
         return model.transform(frame).withColumn("probability", shares).drop("rawPrediction", "prediction")
 
     return Head(model, list(classes), probabilities)
 
 
-def _softmax(margins: Column) -> Column:
-    powers = F.transform(margins, lambda v: F.exp(v - F.array_max(margins)))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(powers, lambda v: v / total)
-
-
 def _boosted_with_stop(booster: GBTClassifier, indexed: DataFrame, classes, weight, validation) -> Head:
     """One booster per class, each with its own early stop, and a softmax of their margins."""
     models = []
@@ -136,11 +131,25 @@ def _boosted_with_stop(booster: GBTClassifier, indexed: DataFrame, classes, weig
             frame = model.transform(frame)
         margins = F.array(*[vector_to_array(f"_raw{i}")[1] for i in range(len(models))])
         used = [f"_{part}{i}" for i in range(len(models)) for part in ("raw", "share", "class")]
-        return frame.withColumn("probability", _softmax(margins)).drop(*used)
+        return frame.withColumn("probability", trees.softmax(margins)).drop(*used)
 
     return Head(models, list(classes), probabilities)
 
 
+def forest_of(head: Head) -> trees.Forest:
+    """All trees of a boosted head as flat arrays: one group for two classes, else one per class."""
+    models = head.model if isinstance(head.model, list) else [head.model]
+    return trees.joined([trees.from_description(m.toDebugString, m.treeWeights) for m in models])
+
+
+def boosted_shares(margins: Column, classes: Sequence) -> Column:
+    """Probabilities of a boosted head (``fit_boosted``) from its margins, in class order."""
+    if len(classes) == 2:
+        one = 1 / (1 + F.exp(-2 * margins[0]))
+        return F.array(1 - one, one)
+    return trees.softmax(margins)
+
+
 def fit_adaboost(df, label, classes, rounds: int = 100, seed: int = S.SEED) -> Head:
     """Boosted depth-1 trees: weights of misclassified rows grow by exp(alpha) each round.
 

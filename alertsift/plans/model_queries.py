@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.keys import hash_order
+from ..operators import boosting as B
 from ..operators import classifiers as C
 from ..operators import detectors as D
 from ..operators import explain as E
 from ..operators import metrics as M
 from ..operators import splits
 from ..operators.quantiles import exact_quantiles
+from ..operators.trees import joined, margin_column
 from ..session import materialise
 from . import cascade_queries as CQ
 from . import mapping_queries as MQ
@@ -141,6 +143,24 @@ def i17(spark, sf_dir):
     return C.evaluate(fit(train).score(held.withColumn("y2", F.col("y"))), "y2", [0, 1])
 
 
+def histogram_frame(spark, sf_dir, variant="behaviour"):
+    """(flows with their features and balanced weights per class, names of the features)"""
+    frame, pre = PQ.model_frame(spark, sf_dir, variant)
+    return materialise(frame.select("lfid", "label", "split", "y_binary", "features")), pre
+
+
+@query("i17_histogram_boosting")
+def i17_histogram(spark, sf_dir):
+    """300 rounds of depth 8 with balanced weights on all flow features; validation rows stop the rounds."""
+    frame, _ = histogram_frame(spark, sf_dir)
+    fitted = C.with_class_weight(frame.where("split = 'train'"), "y_binary").unionByName(
+        frame.where("split = 'val'").withColumn("weight", F.lit(1.0))
+    )
+    head = B.fit_histogram(fitted.withColumn("stop", F.col("split") == "val"), "y_binary", [0, 1], "weight", "stop", "lfid")
+    held = C.evaluate(head.score(frame.where("split = 'test'")), "y_binary", [0, 1])
+    return held.withColumn("rounds", F.lit(head.model.rounds))
+
+
 @query("i18_perceptron")
 def i18(spark, sf_dir):
     return _heads(spark, sf_dir, lambda t: C.fit_perceptron(t, "klass", CLASSES))
@@ -182,20 +202,34 @@ def i12(spark, sf_dir):
 
 
 def score_flows(heads: dict, wanted=None):
-    """Candidate scores: four attack scores and the predicted classes per flow."""
-    out = None
+    """Candidate scores: four attack scores and the predicted classes per flow.
+
+    The vectors of all variants stand in one row, so that one Python step walks all trees of all heads.
+    """
+    out, scores, kept = None, {}, []
     for variant, (frame, _, pair) in heads.items():
-        rows = frame if wanted is None else frame.join(wanted, "lfid", "left_semi")
-        mc = pair["mc"].score(rows, "_class").withColumns(
-            {f"s_mc_{variant}": C.attack_score(pair["mc"].classes), f"pred_class_mc_{variant}": F.col("_class")}
-        ).drop("probability", "_class")
-        both = pair["bin"].score(mc).withColumn(f"s_bin_{variant}", C.attack_score([0, 1]))
-        keep = ["lfid", f"s_mc_{variant}", f"s_bin_{variant}", f"pred_class_mc_{variant}"]
+        rows = (frame if wanted is None else frame.join(wanted, "lfid", "left_semi")).withColumnRenamed("features", f"_x_{variant}")
         if out is None:
-            out = both.select(*keep, "label", "source_file", "service_aligned", F.col("y_binary").alias("y_flow_attack"))
+            out = rows.select("lfid", "label", "source_file", "service_aligned", F.col("y_binary").alias("y_flow_attack"), f"_x_{variant}")
         else:
-            out = out.join(both.select(*keep), "lfid")
-    return out
+            out = out.join(rows.select("lfid", f"_x_{variant}"), "lfid")
+        forests = [C.forest_of(pair[kind]) for kind in ("mc", "bin")]
+        scores[f"_m_{variant}"] = margin_column(joined(forests), f"_x_{variant}")
+        mc = forests[0].groups
+        shares = C.boosted_shares(F.slice(f"_m_{variant}", 1, mc), pair["mc"].classes)
+        two = C.boosted_shares(F.slice(f"_m_{variant}", mc + 1, 1), [0, 1])
+        kept.append((variant, pair["mc"].classes, shares, two))
+    scored = out.withColumns(scores)
+    parts = {}
+    for variant, classes, shares, two in kept:
+        scored = scored.withColumns({f"_p_{variant}": shares, f"s_bin_{variant}": two[1]})
+        own = F.col(f"_p_{variant}")
+        best = F.array_position(own, F.array_max(own)).cast("int")
+        parts[f"s_mc_{variant}"] = 1 - own[list(classes).index(S.BENIGN)]
+        parts[f"pred_class_mc_{variant}"] = F.element_at(F.array(*[F.lit(c) for c in classes]), best)
+    names = [n for v in heads for n in (f"s_mc_{v}", f"s_bin_{v}", f"pred_class_mc_{v}")]
+    first, rest = names[:3], names[3:]
+    return scored.withColumns(parts).select("lfid", *first, "label", "source_file", "service_aligned", "y_flow_attack", *rest)
 
 
 @query("i13_random_search")
@@ -257,6 +291,15 @@ def i23(spark, sf_dir):
     return E.class_contributions(E.contributions(head, held, "vec_id", "klass", names, reference), "klass")
 
 
+@query("i23_tree_contributions")
+def i23_trees(spark, sf_dir):
+    """Per class the eight features that move its margin most, on up to 2,000 validation flows."""
+    frame, pre = histogram_frame(spark, sf_dir, "service")
+    fitted = frame.where("split <> 'test'").withColumn("stop", F.col("split") == "val")
+    head = B.fit_histogram(fitted, "label", list(S.LABELS), None, "stop", "lfid", rounds=100, depth=6, l2=1.0, leaf_rows=1)
+    return E.explain_trees(head, frame.where("split = 'val'"), "lfid", "label", list(pre.features))
+
+
 @query(
     "i23_case_studies",
     f"""{CQ.DECISIONS}, c AS (SELECT *, CASE WHEN y_true = 0 AND NOT keep THEN 'rejected_benign' WHEN y_true = 1 AND keep AND score IS NOT NULL THEN 'retained_attack'

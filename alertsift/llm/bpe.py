@@ -12,7 +12,7 @@ vocabulary) are broadcast, so executors need no file.
 
 Defined cases: a null text has no ids (``encode``) and decodes to an empty text; texts of any
 length are encoded in stretches of bounded size; repeated rows are encoded each on its own;
-an ``ids`` or ``decoded`` column of the input is replaced.
+an ``ids`` or ``decoded`` column of the input is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
+from hashlib import sha256
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -203,7 +204,7 @@ class Encoder:
         """Encodings of new chunks; their new words are encoded together."""
         split = {c: self._words_of(c) for c in chunks}
         if len(self.words) > CACHED_WORDS:
-            self.words = {}
+            self.words = _older_half(self.words, CACHED_WORDS)
         known = self.words
         new = list({w for words in split.values() for w in words if w not in known})
         packed, ends = self._code(new)
@@ -267,31 +268,112 @@ class Encoder:
                 size += len(text)
         yield from self._encode_known(window)
 
-    def _encode_known(self, texts: list[str]) -> list[bytes]:
+    def _ready(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
+        """The chunks of the texts, all of them known now, and those that are new."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks = {"": b""}
+        self._make_room()
         missing = set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
         if missing:
-            self.chunks.update(self._learn(missing))
+            self._store(self._learn(missing))
+        return split, missing
+
+    def _make_room(self) -> None:
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks = _older_half(self.chunks, CACHED_CHUNKS)
+
+    def _store(self, learnt: dict[str, bytes]) -> None:
+        self.chunks.update(learnt)
+
+    def _forget(self, chunks: set[str]) -> None:
+        for c in chunks:
+            if len(c) > LONGEST_CACHED:
+                del self.chunks[c]
+
+    def _encode_known(self, texts: list[str]) -> list[bytes]:
+        split, missing = self._ready(texts)
         get = self.chunks.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
-        for c in missing:
+        self._forget(missing)
+        return out
+
+
+def _older_half(table: dict, limit: int) -> dict:
+    """The entries met first: common words are met early, so they outlast a full table."""
+    return dict(islice(table.items(), max(1, limit // 2)))
+
+
+class RoundTrip(Encoder):
+    """Encodes and decodes at once: per chunk the table holds its ids and its tokens as texts."""
+
+    def _start(self, special: dict[str, int]) -> None:
+        super()._start(special)
+        self.chunks, self.shown = {"": ""}, {"": ""}
+
+    def _make_room(self) -> None:
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks, self.shown = _older_half(self.chunks, CACHED_CHUNKS), _older_half(self.shown, CACHED_CHUNKS)
+
+    def _store(self, learnt: dict[str, bytes]) -> None:
+        tokens = self.v.tokens
+        for chunk, packed in learnt.items():
+            ids = np.frombuffer(packed, "<u4").tolist() if len(packed) != 4 else [int.from_bytes(packed, "little")]
+            self.chunks[chunk] = "".join([f"{k} " for k in ids])
+            self.shown[chunk] = "".join([tokens[k] + " " for k in ids])
+
+    def _forget(self, chunks: set[str]) -> None:
+        for c in chunks:
             if len(c) > LONGEST_CACHED:
-                del self.chunks[c]
+                del self.chunks[c], self.shown[c]
+
+    def digests(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Per text: the number of its ids, and the SHA-256 of its ids and of its decoded text."""
+        window: list[str] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if window and size + len(text) > STRETCH:
+                yield from self._digests_of(window)
+                window, size = [], 0
+            if len(text) > STRETCH:
+                yield self._long(text)
+            else:
+                window.append(text)
+                size += len(text)
+        yield from self._digests_of(window)
+
+    def _digests_of(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        split, missing = self._ready(texts)
+        out = []
+        for chunks in split:
+            ids, shown = ("".join(map(t.__getitem__, chunks)) for t in (self.chunks, self.shown))
+            out.append((ids.count(" "), *(sha256(s[:-1].encode()).hexdigest() for s in (ids, shown))))
+        self._forget(missing)
         return out
 
+    def _long(self, text: str) -> tuple[int, str, str]:
+        """The same by stretches, each ended by the blank before the next."""
+        n, sums = 0, (sha256(), sha256())
+        for stretch in self._stretches(text):
+            (chunks,), missing = self._ready([stretch])
+            for own, known in zip(sums, (self.chunks, self.shown), strict=True):
+                said = "".join(map(known.__getitem__, chunks))
+                if said:
+                    own.update(((" " if n else "") + said[:-1]).encode())
+            n += sum(self.chunks[c].count(" ") for c in chunks)
+            self._forget(missing)
+        return n, *(s.hexdigest() for s in sums)
+
 
-_MADE: dict[str, Encoder] = {}
+_MADE: dict[tuple, Encoder] = {}
 
 
-def encoder_of(shared) -> Encoder:
+def encoder_of(shared, kind: type[Encoder] = Encoder) -> Encoder:
     """This worker's encoder for a broadcast (name, vocabulary); one is held at a time."""
     name, vocabulary = shared.value
-    if name not in _MADE:
+    if (name, kind) not in _MADE:
         _MADE.clear()
-        _MADE[name] = Encoder(vocabulary)
-    return _MADE[name]
+        _MADE[name, kind] = kind(vocabulary)
+    return _MADE[name, kind]
 
 
 @lru_cache(maxsize=2)
@@ -329,3 +411,20 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         return pd.Series([" ".join(map(tokens.__getitem__, r.tolist())) if r is not None else "" for r in rows], dtype=object)
 
     return docs.withColumn(out, text_of(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (see ``RoundTrip.digests``) of every text.
+
+    Encodes, decodes and digests in one step, so no ids leave the worker.
+    """
+    shared = share(docs.sparkSession, path)
+    small_batches(docs.sparkSession)
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(encoder_of(shared, RoundTrip).digests(texts)), columns=list(names))
+
+    marked = docs.withColumn("_coded", digests(F.col(text)))
+    return marked.withColumns({n: F.col(f"_coded.{n}") for n in names}).drop("_coded")

@@ -1,5 +1,6 @@
 """The BPE encoder against the tokenizers library."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -65,3 +66,23 @@ def test_columns(spark):
         ids = want(texts[r.doc_id])
         assert list(r.ids) == ids and r.decoded == REF.decode(ids, skip_special_tokens=False)
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def digests(text):
+    ids = want(text)
+    sums = (" ".join(map(str, ids)), REF.decode(ids, skip_special_tokens=False))
+    return len(ids), *(hashlib.sha256(s.encode()).hexdigest() for s in sums)
+
+
+def test_round_trip_digests(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12))) for _ in range(800)] + [None, "", " ", "x" * 50 + " y"]
+    df = spark.createDataFrame([(k, t, "old") for k, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    rows = bpe.round_trip(df, PATH).collect()
+    assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in sorted(rows, key=lambda r: r.doc_id)] == [digests(t) for t in texts]
+    assert bpe.round_trip(df.limit(0), PATH).count() == 0
+    monkeypatch.setattr(bpe, "STRETCH", 30)
+    monkeypatch.setattr(bpe, "CACHED_CHUNKS", 9)
+    long = ["the cat, " * 20, "   " * 30, "a" * 100 + "  b\n" * 40, "short"] + texts[:50]
+    coder = bpe.RoundTrip(bpe.load_vocabulary(PATH))
+    assert list(coder.digests(long)) == [digests(t) for t in long]

@@ -4,18 +4,20 @@ Unit vectors with cosine >= c lie within squared distance 2 - 2c. A fixed rotati
 energy, and the coordinates are cut into blocks; each block gets a share of the squared
 distance in proportion to its width. A linked pair keeps to the budget in at least one block,
 so each block is range-joined on its own: a vector is at home in one slab of the block's first
-coordinate and a guest in every slab within the radius. Inside a slab the second coordinate
-bounds the rows that are compared, the block distance picks candidates, and every candidate is
-verified by its cosine in double precision. A pair found in several blocks counts in the first
+coordinate and a guest in every slab within the radius. Inside a slab the home rows are halved along
+the widest of the block's coordinates until few are left, and meet the guests within the radius of
+their box; the block distance picks candidates, and every candidate is verified by its cosine in double precision. A pair found in several blocks counts in the first
 block whose budget it keeps, so no pair table is built or made distinct: a task sends on one
 count and one spanning edge per vector.
 
-Equal vectors are merged first. A crowded slab is cut into pieces of bounded size, and every
-pair of pieces is a task of its own.
+Equal vectors are merged first. The homes and the guests of a crowded slab are cut into pieces of
+bounded size, and every pair of pieces is a task of its own.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components links
 with nothing; vectors of different lengths do not link; rows with equal vectors are linked; a
-row without an id has no component, is kept, and counts as a link of its partners.
+row without an id has no component, is kept, and counts as a link of its partners; an empty table gives
+an empty table; other columns are ignored, also if they are named like an output. A pair links if the
+quotient of its inner product and its norms, computed in double precision, reaches the threshold.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .graph import components
 
 BLOCKS = 8
 PIECE = 32_768  # vectors on either side of one task
-_ROWS, _PAIRS = 256, 65_536  # rows and pairs compared at a time inside a task
+_ROWS, _PAIRS = 32, 1 << 18  # home rows of a cell, and pairs compared at a time inside a task
 _SLACK = 1e-9
 
 
@@ -91,6 +93,27 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _cells(part: np.ndarray, home: np.ndarray, guest: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The range join of a block inside a task: small sets of home rows with the guests within ``reach`` of their box.
+
+    Home rows are halved along the coordinate that spreads most; guests beyond a half's border by more than
+    the reach cannot be within it.
+    """
+    open_ = [(home, guest)]
+    while open_:
+        rows, others = open_.pop()
+        if not len(rows) or not len(others):
+            continue
+        low, high = part[rows].min(axis=0) - reach, part[rows].max(axis=0) + reach
+        others = others[((part[others] >= low) & (part[others] <= high)).all(axis=1)]
+        axis = int((high - low).argmax())
+        if len(rows) <= _ROWS or not len(others) or high[axis] - low[axis] <= 2 * reach:
+            yield rows, others
+            continue
+        order = rows[np.argpartition(part[rows, axis], len(rows) // 2)]
+        open_ += [(order[: len(rows) // 2], others), (order[len(rows) // 2 :], others)]
+
+
 def _links(vectors: pd.Series, home: np.ndarray, guest: np.ndarray, rep: np.ndarray, block: int, cosine: float):
     """Index pairs (home row, guest row) of all links that this block is the first to keep."""
     raw = np.vstack(vectors.to_list()).astype(np.float64)
@@ -99,23 +122,21 @@ def _links(vectors: pd.Series, home: np.ndarray, guest: np.ndarray, rep: np.ndar
     turned = (raw / norm[:, None]) @ rotation(size)
     edges, budget = block_edges(size), budgets(size, cosine)
     part = turned[:, edges[block] : edges[block + 1]]
-    second, square = part[:, min(1, part.shape[1] - 1)], (part**2).sum(axis=1)
-    home, guest = home[np.argsort(second[home])], guest[np.argsort(second[guest])]
-    reach, found = np.sqrt(budget[block]) + _SLACK, []
-    for at in range(0, len(home), _ROWS):
-        rows = home[at : at + _ROWS]
-        low, high = np.searchsorted(second[guest], [second[rows[0]] - reach, second[rows[-1]] + reach + _SLACK])
-        others = guest[low:high]
-        far = square[rows][:, None] + square[others][None, :] - 2 * (part[rows] @ part[others].T)
-        i, j = np.nonzero(far <= budget[block] + 1e-6)
-        i, j = rows[i], others[j]
-        for k in range(0, len(i), _PAIRS):
-            x, y = i[k : k + _PAIRS], j[k : k + _PAIRS]
-            good = (np.einsum("ij,ij->i", raw[x], raw[y]) / (norm[x] * norm[y]) >= cosine) & (rep[x] != rep[y])
-            x, y = x[good], y[good]
-            kept = np.add.reduceat((turned[x] - turned[y]) ** 2, edges[:-1], axis=1) <= budget
-            first = kept.argmax(axis=1) == block
-            found.append((x[first], y[first]))
+    square, reach, found = (part**2).sum(axis=1), np.sqrt(budget[block]) + _SLACK, []
+    for rows, others in _cells(part, home, guest, reach):
+        step = max(1, _PAIRS // len(others))
+        for at in range(0, len(rows), step):
+            few = rows[at : at + step]
+            far = square[few][:, None] + square[others][None, :] - 2 * (part[few] @ part[others].T)
+            i, j = np.nonzero(far <= budget[block] + 1e-6)
+            i, j = few[i], others[j]
+            for k in range(0, len(i), _PAIRS):
+                x, y = i[k : k + _PAIRS], j[k : k + _PAIRS]
+                good = (np.einsum("ij,ij->i", raw[x], raw[y]) / (norm[x] * norm[y]) >= cosine) & (rep[x] != rep[y])
+                x, y = x[good], y[good]
+                kept = np.add.reduceat((turned[x] - turned[y]) ** 2, edges[:-1], axis=1) <= budget
+                first = kept.argmax(axis=1) == block
+                found.append((x[first], y[first]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -153,20 +174,23 @@ def near_duplicates(
     with_id = classes.where(F.col("rep").isNotNull())
     places = staged(_placements(with_id, cosine), "places")
     slab = ["size", "block", "slab"]
-    crowd = places.where("home").groupBy(*slab).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    own = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
-    pieces = F.sequence(F.lit(0), F.col("pieces") - 1)
-    tasks = F.array_distinct(
-        F.concat(
-            F.transform(pieces, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))),
-            F.transform(pieces, lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))),
-        )
+    # Either side of a slab is cut by its own count: every piece of homes meets every piece of guests.
+    parts_of = lambda n: F.ceil(n / PIECE).cast("int")
+    crowd = (
+        places.groupBy(*slab)
+        .agg(parts_of(F.count_if(F.col("home"))).alias("homes"), parts_of(F.count("*")).alias("guests"))
+        .where("homes > 0")
     )
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    pieces = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at_home = F.transform(pieces("guests"), lambda j: F.struct(F.col("i").alias("i"), j.alias("j")))
+    as_guest = F.transform(pieces("homes"), lambda i: F.struct(i.alias("i"), F.col("j").alias("j")))
+    tasks = F.array_distinct(F.concat(F.when(F.col("home"), at_home).otherwise(F.slice(at_home, 1, 0)), as_guest))
     dealt = (
         places.join(crowd, slab)
-        .withColumn("own", own)
+        .withColumns({"i": own("homes"), "j": own("guests")})
         .withColumn("task", F.explode(tasks))
-        .withColumns({"home": F.col("home") & (F.col("task.i") == F.col("own")), "guest": F.col("task.j") == F.col("own")})
+        .withColumns({"home": F.col("home") & (F.col("task.i") == F.col("i")), "guest": F.col("task.j") == F.col("j")})
         .where("home or guest")
         .join(with_id, "rep")
         .select("rep", "copies", "vector", *slab, "task", "home", "guest")

@@ -62,3 +62,49 @@ def test_hot_group_is_complete(spark, monkeypatch):
 
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_thin_slab_beside_a_crowded_one(spark, monkeypatch):
+    """A few homes whose neighbours crowd the next slab: either side is cut by its own count."""
+    monkeypatch.setattr(vectors, "PIECE", 25)
+    monkeypatch.setattr(vectors, "_ROWS", 4)
+    rng, size = np.random.default_rng(5), 16
+    turn = vectors.rotation(size)
+    width = 2 * (np.sqrt(vectors.budgets(size, 0.95)[0]) + 1e-9)
+    data = []
+    for k in range(240):
+        point = rng.normal(size=size) * 0.05
+        point[0] = -0.01 if k < 3 else width * rng.uniform(0, 0.4)
+        point[5] = 1.0
+        data.append(turn @ point)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(data)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, n_links int").repartition(3)
+    got = vectors.near_duplicates(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows, 0.95))
+
+
+def test_cells_lose_no_pair_within_reach():
+    rng = np.random.default_rng(6)
+    part = np.concatenate([rng.normal(size=(300, 3)), np.repeat(rng.normal(size=(3, 3)), 60, axis=0)])
+    home, guest = np.flatnonzero(rng.random(480) < 0.7), np.flatnonzero(rng.random(480) < 0.8)
+    met = {(i, j) for rows, others in vectors._cells(part, home, guest, 0.4) for i in rows for j in others}
+    near = {(i, j) for i in home for j in guest if np.linalg.norm(part[i] - part[j]) <= 0.4}
+    assert near <= met and len(met) < 0.6 * len(home) * len(guest)
+    assert sum(len(rows) for rows, _ in vectors._cells(part, home, guest, 9.0)) == len(home)
+
+
+def test_the_quotient_decides_at_the_border(spark):
+    """Pairs at the threshold to the last bit: what the stated formula gives counts."""
+    rng, rows = np.random.default_rng(7), []
+    for k in range(40):
+        a, b = rng.normal(size=8), rng.normal(size=8)
+        b -= a * (a @ b) / (a @ a)
+        b = 0.95 * a / np.linalg.norm(a) + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, b.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+    for k in range(40):
+        a, b = (np.array(rows[2 * k + i][1]) for i in (0, 1))
+        quotient = np.einsum("i,i->", a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
+        if abs(quotient - 0.95) > 3e-16:
+            assert (got[2 * k] > 0) == (quotient >= 0.95)

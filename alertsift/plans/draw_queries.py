@@ -36,6 +36,26 @@ def a1(spark, sf_dir):
     )
 
 
+@query(
+    "a1_captures_by_name",
+    f"""{V.BASE} SELECT source_file, label, count(*) AS n, CAST(sum(fwd_pkts) AS BIGINT) AS fwd_pkts, {r('sum(len_mean)', 1)} AS len_mean,
+    count(CASE WHEN length(source_file) % 3 <> 2 THEN init_win END) AS init_win FROM seg GROUP BY ALL""",
+)
+def a1_by_name(spark, sf_dir):
+    """Captures of three headers: two orders of the columns, and one that lacks a column."""
+    names = ["flow_id", "ts", "fwd_pkts", "len_mean", "init_win"]
+    folder = stage_path(spark, "captures")
+    s = materialise(V.segments(spark, sf_dir).select("source_file", *names))
+    for k, header in enumerate((names, names[::-1], names[:-1])):
+        part = s.where(F.length("source_file") % 3 == k).select("source_file", *header)
+        part.write.partitionBy("source_file").option("header", True).csv(f"{folder}/{k}")
+    schema = "flow_id string, ts long, fwd_pkts long, len_mean double, init_win long"
+    return A.scan_captures(spark, folder, spark.createDataFrame([], schema).schema).groupBy("source_file", "label").agg(
+        F.count("*").alias("n"), F.sum("fwd_pkts").alias("fwd_pkts"), near(F.sum("len_mean"), 1).alias("len_mean"),
+        F.count("init_win").alias("init_win"),
+    )
+
+
 @query("a2_label_from_source", f"{V.BASE} SELECT source_file, label, count(*) AS n FROM seg GROUP BY ALL")
 def a2(spark, sf_dir):
     s = V.segments(spark, sf_dir)

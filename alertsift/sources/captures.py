@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,27 +36,61 @@ def capture_name(path: Column) -> Column:
     return F.regexp_extract(F.url_decode(path), r"([^/=]+\.csv)(?:/part-[^/]*)?$", 1)
 
 
+def capture_headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the header of their capture; files without a byte are left out.
+
+    Names come from the listing alone. Of every capture one file's first line is read; a part
+    with another header than its capture is found when it is scanned.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    files = listing.where("length > 0").select("path", capture_name(F.col("path")).alias("capture")).collect()
+    captures: dict[str, list[str]] = {}
+    for row in sorted(files, key=lambda r: r["path"]):
+        literal = re.sub(r"([\[\]{}*?\\])", r"\\\1", row["path"])  # a name, not a pattern
+        captures.setdefault(row["capture"] or row["path"], []).append(literal)
+    first_line = lambda parts: tuple(spark.read.option("header", True).csv(parts[0]).columns)
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(first_line, captures.values()))
+    grouped: dict[tuple[str, ...], list[str]] = {}
+    for header, parts in zip(headers, captures.values(), strict=True):
+        grouped.setdefault(header, []).extend(parts)
+    return grouped
+
+
+def _scan(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None) -> DataFrame:
+    """One scan of files with the same header; a file with another one is an error."""
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
+    raw = reader.csv(list(paths))
+    if schema is None:
+        return raw.select("*", F.col("_metadata.file_path").alias("_path"))
+
+    def taken(field: T.StructField):
+        if field.name not in raw.columns:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        column = F.col(f"`{field.name}`")
+        return (column if isinstance(field.dataType, T.StringType) else column.try_cast(field.dataType)).alias(field.name)
+
+    return raw.select(*[taken(f) for f in schema.fields], F.col("_metadata.file_path").alias("_path"))
+
+
 def scan_captures(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """All capture CSVs of a folder as one dataset with ``source_file`` and ``label``.
 
-    With a schema the needed columns are picked by header name and converted; text that does
-    not convert becomes null. Without one every column is read as text. Captures whose
-    headers disagree are an error, not a silent shift of columns.
+    Captures are united by column name: their headers may differ in order, and a column that a
+    capture lacks is null there. With a schema the needed columns are picked by name and converted;
+    text that does not convert becomes null. Without one every column is read as text. A column of
+    the schema that no capture has is an error, as is a part of a capture whose header differs from
+    the capture's other parts.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
-    raw = reader.csv(paths)
-    if schema is not None:
-        raw = raw.select(
-            *[
-                (F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType)
-                 else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name)
-                for f in schema.fields
-            ],
-            F.col("_metadata.file_path").alias("_path"),
-        )
-    else:
-        raw = raw.select("*", F.col("_metadata.file_path").alias("_path"))
+    headers = capture_headers(spark, paths)
+    if schema is not None and headers:
+        absent = [f.name for f in schema.fields if not any(f.name in h for h in headers)]
+        if absent:
+            raise ValueError(f"no capture has the columns {absent}")
+    groups = [paths] if len(headers) < 2 else list(headers.values())
+    scans = [_scan(spark, group, schema) for group in groups]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     named = raw.withColumn("source_file", capture_name(F.col("_path"))).drop("_path")
     return named.withColumn("label", label_of(F.col("source_file")))
 

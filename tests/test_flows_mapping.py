@@ -247,8 +247,24 @@ def test_capture_name(spark):
     assert [r[0] for r in got] == ["BenignTraffic.csv", "XSS.pcap_Flow.csv", "A B.csv"]
 
 
-def test_disagreeing_headers_are_an_error(spark, tmp_path):
-    (tmp_path / "Benign.csv").write_text("a,b\n1,2\n")
+def test_captures_unite_by_name(spark, tmp_path):
+    (tmp_path / "Benign[1].csv").write_text("a,b\n1,2\n")
     (tmp_path / "XSS.csv").write_text("b,a\n2,1\n")
+    (tmp_path / "DNS_Spoofing.csv").write_text("a\nx\n")
+    (tmp_path / "Empty.csv").write_text("")
+    got = {r.source_file: r for r in A.scan_captures(spark, str(tmp_path)).collect()}
+    assert {f: (r.a, r.b) for f, r in got.items()} == {"Benign[1].csv": ("1", "2"), "XSS.csv": ("1", "2"), "DNS_Spoofing.csv": ("x", None)}
+    schema = spark.createDataFrame([], "b long, a long").schema
+    got = {r.source_file: (r.a, r.b) for r in A.scan_captures(spark, str(tmp_path), schema).collect()}
+    assert got == {"Benign[1].csv": (1, 2), "XSS.csv": (1, 2), "DNS_Spoofing.csv": (None, None)}
+    with pytest.raises(ValueError, match="'c'"):
+        A.scan_captures(spark, str(tmp_path), spark.createDataFrame([], "a long, c long").schema)
+
+
+def test_parts_of_one_capture_must_agree(spark, tmp_path):
+    folder = tmp_path / "XSS.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("a,b\n1,2\n")
+    (folder / "part-1.csv").write_text("b,a\n2,1\n")
     with pytest.raises(Exception, match="(?i)header"):
         A.scan_captures(spark, str(tmp_path)).collect()

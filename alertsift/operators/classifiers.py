@@ -15,6 +15,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from ..functions.keys import hash_order
 from ..session import bounded, join_groups, materialise
 from . import metrics as M
 from . import trees
+from .networks import softmax, train_network
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,33 @@ def fit_perceptron(df, label, classes, hidden: Sequence[int] = (64, 32), seed: i
     return _fit(MultilayerPerceptronClassifier(layers=[width, *hidden, len(classes)], seed=seed, **options), df, label, classes)
 
 
+def fit_network(
+    df, label, classes, key=None, held=None, hidden: Sequence[int] = (64, 32), l2: float = 1e-3, epochs: int = 200,
+    batch: int = 200, patience: int = 10, seed: int = S.SEED, **options,
+) -> Head:
+    """Cross-entropy network on standardised features with L2 on its weights.
+
+    Means and deviations are those of the rows it learns from; the fitted network takes raw vectors.
+
+    Rows with true ``held`` stop the epochs by their accuracy and the best epoch is kept; without
+    ``held`` all ``epochs`` are run. Rows of a label that is not in ``classes`` take no part.
+    """
+    indexed = index_labels(df, label, classes).where("features IS NOT NULL")
+    learnt = indexed.where(~F.coalesce(F.col(held), F.lit(False))) if held else indexed
+    scaler = StandardScaler(withMean=True, inputCol="features", outputCol="_scaled").fit(learnt)
+    mean, spread = scaler.mean.toArray(), scaler.std.toArray()
+    network = train_network(
+        scaler.transform(indexed), [len(mean), *hidden, len(classes)], key, "_scaled", "_y", held, epochs, batch, l2=l2,
+        patience=patience if held else None, seed=seed, **options,
+    ).on_raw(mean, spread)
+
+    def probabilities(frame: DataFrame) -> DataFrame:
+        shares = network.column(frame, "features", lambda x, layers: softmax(layers[-1]), "array<double>")
+        return frame.withColumn("probability", shares)
+
+    return Head(network, list(classes), probabilities)
+
+
 def fit_boosted(
     df, label, classes, weight=None, rounds: int = 100, depth: int = 3, rate: float = 0.1, subsample: float = 1.0,
     columns: str = "all", leaf: int = 1, validation: str | None = None, seed: int = S.SEED,

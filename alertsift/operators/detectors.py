@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.keys import hash_order
 from ..session import bounded
+from .networks import Network, row_losses, train_network
 from .sampling import sample_upto
 
 _EULER = 0.5772156649015329
@@ -195,51 +196,19 @@ def fit_cluster_purity(train: DataFrame, y: str, vector: str = "features", k: in
 
 @dataclass(frozen=True)
 class AutoencoderModel:
-    """Fully connected network, rectified except in its last layer."""
+    """Network that rebuilds its input through a narrow layer."""
 
-    weights: list[np.ndarray]
-    biases: list[np.ndarray]
+    network: Network
     bottleneck: int
 
-    def _udf(self, df, fn, kind):
-        shared = df.sparkSession.sparkContext.broadcast((self.weights, self.biases))
-
-        def run(batch: pd.Series) -> pd.Series:
-            x = np.stack(batch.to_numpy())
-            return pd.Series(list(fn(x, _forward(x, *shared.value))))
-
-        return F.pandas_udf(run, kind)
-
     def score(self, df: DataFrame, vector: str = "features", out: str = "anomaly_score") -> DataFrame:
         """Mean squared reconstruction error per row."""
-        error = self._udf(df, lambda x, layers: ((layers[-1] - x) ** 2).mean(axis=1), "double")
-        return df.withColumn(out, error(vector_to_array(F.col(vector))))
+        error = self.network.column(df, vector, lambda x, layers: row_losses(x, layers[-1]), "double")
+        return df.withColumn(out, error)
 
     def embed(self, df: DataFrame, vector: str = "features", out: str = "latent") -> DataFrame:
         at = self.bottleneck
-        latent = self._udf(df, lambda x, layers: layers[at], "array<double>")
-        return df.withColumn(out, latent(vector_to_array(F.col(vector))))
-
-
-def _forward(x, weights, biases):
-    layers = [x]
-    for i, (w, b) in enumerate(zip(weights, biases)):
-        z = layers[-1] @ w + b
-        layers.append(z if i == len(weights) - 1 else np.maximum(z, 0.0))
-    return layers
-
-
-def _gradients(x, weights, biases):
-    """Sum over rows of the squared-error gradients (per-feature mean), and the error sum."""
-    layers = _forward(x, weights, biases)
-    delta = 2.0 * (layers[-1] - x) / x.shape[1]
-    loss = ((layers[-1] - x) ** 2).mean(axis=1).sum()
-    gw, gb = [None] * len(weights), [None] * len(weights)
-    for i in range(len(weights) - 1, -1, -1):
-        gw[i], gb[i] = layers[i].T @ delta, delta.sum(axis=0)
-        if i:
-            delta = (delta @ weights[i].T) * (layers[i] > 0)
-    return np.concatenate([g.ravel() for pair in zip(gw, gb) for g in pair]), loss
+        return df.withColumn(out, self.network.column(df, vector, lambda x, layers: layers[at], "array<double>"))
 
 
 def fit_autoencoder(
@@ -253,69 +222,22 @@ def fit_autoencoder(
     rate: float = 2e-3,
     decay: float = 1e-5,
     seed: int = S.SEED,
+    key: str | None = None,
+    held: str | None = None,
+    patience: int | None = None,
+    lanes: int = 8,
 ) -> AutoencoderModel:
-    """Mini-batch Adam inside each partition, averaged over partitions after every epoch.
+    """Autoencoder over benign rows; equal for every partitioning (see ``train_network``).
 
-    A partition streams its rows and takes ``passes`` rounds of mini-batches over each Arrow
-    batch, starting from the common weights and moments. The results, weighted by rows, are
-    added up in a tree between executors; one vector per epoch comes back. Small inputs
-    use few partitions, so that each still takes enough steps. ``fit`` should be a cached or
-    stage table, as every epoch reads it. An empty input raises an error.
+    ``held`` names a boolean column whose rows only judge the epochs; with ``patience`` they
+    stop them and the best epoch is kept. An empty input raises an error.
     """
     sizes = [width, *hidden, *list(reversed(hidden[:-1])), width]
-    rng = np.random.default_rng(seed)
-    shapes = list(zip(sizes, sizes[1:]))
-    start = [rng.uniform(-1, 1, (a, b)) * math.sqrt(1.0 / a) for a, b in shapes]
-    flat = np.concatenate([p.ravel() for w in start for p in (w, np.zeros(w.shape[1]))])
-    context = fit.sparkSession.sparkContext
-    rows = fit.select(vector_to_array(F.col(vector)).alias("x"))
-    available = rows.count()
-    if not available:
-        raise ValueError("no rows to fit the autoencoder on")
-    rows = rows.coalesce(max(1, available // (8 * batch)))
-    state = np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)])  # weights, both moments
-    taken = 0
-    for epoch in range(epochs):
-        shared = context.broadcast((state, taken))
-
-        def train(batches, shared=shared, epoch=epoch):
-            (own, done), n, count = shared.value, 0, 0
-            own, order = own.copy(), np.random.default_rng(seed + epoch)
-            for arrow in batches:
-                x = np.stack(arrow["x"].to_numpy())
-                n += len(x)
-                for _ in range(passes):
-                    for at in np.array_split(order.permutation(len(x)), max(1, -(-len(x) // batch))):
-                        count += 1
-                        gradient, _ = _gradients(x[at], *_layers(own[0], shapes))
-                        _adam(own, gradient / len(at) + decay * own[0], rate, done + count)
-            if n:
-                yield pd.DataFrame({"state": [(own * n).tobytes()], "n": [n], "count": [count]})
-
-        sums = rows.mapInPandas(train, "state binary, n long, count long").rdd.map(
-            lambda r: (np.frombuffer(bytes(r["state"])), r["n"], r["count"])
-        )
-        total, n, count = sums.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])))
-        state, taken = (total / n).reshape(3, -1), taken + count
-        shared.unpersist()
-    return AutoencoderModel(*_layers(state[0], shapes), len(hidden))
-
-
-def _layers(flat: np.ndarray, shapes: Sequence[tuple[int, int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Weights and biases as views into one vector."""
-    weights, biases, at = [], [], 0
-    for a, b in shapes:
-        weights.append(flat[at : at + a * b].reshape(a, b))
-        biases.append(flat[at + a * b : at + a * b + b])
-        at += a * b + b
-    return weights, biases
-
-
-def _adam(state: np.ndarray, gradient: np.ndarray, rate: float, step: int) -> None:
-    """One step on (weights, first moment, second moment), in place."""
-    state[1] += 0.1 * (gradient - state[1])
-    state[2] += 0.001 * (gradient**2 - state[2])
-    state[0] -= rate * (state[1] / (1 - 0.9**step)) / (np.sqrt(state[2] / (1 - 0.999**step)) + 1e-8)
+    network = train_network(
+        fit, sizes, key, vector, held=held, epochs=epochs, batch=batch, passes=passes, rate=rate, decay=decay,
+        patience=patience, lanes=lanes, seed=seed,
+    )
+    return AutoencoderModel(network, len(hidden))
 
 
 def search_autoencoder(fit: DataFrame, validation: DataFrame, width: int, grid: Sequence[Sequence[int]], vector: str = "features", **options) -> tuple[AutoencoderModel, DataFrame]:

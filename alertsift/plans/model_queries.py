@@ -58,7 +58,7 @@ def i2(spark, sf_dir):
 @query("i2_autoencoder")
 def i2_autoencoder(spark, sf_dir):
     rows, train, _ = split_vectors(spark, sf_dir)
-    return _scores(D.fit_autoencoder(train.where("y = 0"), 64, (32, 16)).score(rows))
+    return _scores(D.fit_autoencoder(train.where("y = 0"), 64, (32, 16), key="vec_id").score(rows))
 
 
 @query("i3_capacity_search")
@@ -74,7 +74,7 @@ def i3_architecture(spark, sf_dir):
     _, train, _ = split_vectors(spark, sf_dir)
     benign = materialise(splits.fit_validation_split(train.where("y = 0"), "vec_id"))
     fit, held = benign.where("is_validation = 0"), benign.where("is_validation = 1")
-    return D.search_autoencoder(fit, held, 64, [(32, 16), (16, 8), (48, 24), (64, 32, 16)])[1]
+    return D.search_autoencoder(fit, held, 64, [(32, 16), (16, 8), (48, 24), (64, 32, 16)], key="vec_id")[1]
 
 
 @query("i4_latent_forest")
@@ -171,6 +171,16 @@ def i18(spark, sf_dir):
     return _heads(spark, sf_dir, lambda t: C.fit_perceptron(t, "klass", CLASSES))
 
 
+@query("i18_network")
+def i18_network(spark, sf_dir):
+    """64-32 network with L2 on all flow features, stopped by the validation rows; its epoch and test metrics."""
+    frame, _ = histogram_frame(spark, sf_dir)
+    fitted = frame.where("split <> 'test'").withColumn("held", F.col("split") == "val")
+    head = C.fit_network(fitted, "y_binary", [0, 1], "lfid", "held")
+    held = C.evaluate(head.score(frame.where("split = 'test'")), "y_binary", [0, 1])
+    return held.withColumn("rounds", F.lit(head.model.rounds))
+
+
 def flow_heads(spark, sf_dir, variants=("behaviour", "service"), rounds=100, classes=tuple(S.LABELS)):
     """Per variant: the featurised flows and their multiclass and binary boosted heads.
 

@@ -101,7 +101,7 @@ class TwoStageJob:
             return D.fit_subspace(benign, min(s.rank, width))
         if s.detector == "isolation_forest":
             return D.fit_isolation_forest(benign, "packet_key", seed=s.seed)
-        return D.fit_autoencoder(benign, width, s.hidden, epochs=s.epochs, seed=s.seed)
+        return D.fit_autoencoder(benign, width, s.hidden, epochs=s.epochs, seed=s.seed, key="packet_key")
 
     # -- second stage: flows, mapping, heads ----------------------------------------------
 

@@ -2,8 +2,9 @@
 
 Each rule is a regular expression with the literal tokens every fitting address must hold. A
 count of those tokens over all addresses picks the rarest one per rule as its index key. An
-address fetches the rules under its own tokens by an equality join, and only for the fetched
-ones the expression is run, as the join's condition. The best rule per row is the greatest rank.
+address fetches the rules under its own tokens from a constant table of slots, and only the
+fetched ones' expressions are run. The best rule is the one of greatest rank. All of it is one
+projection: judging moves no row.
 
 Defined cases: a null address, or one without ``://``, has an empty host and path and no rule;
 equal addresses are judged row by row; a rule without a whole literal token is fetched by
@@ -12,11 +13,13 @@ every address; with no rules every row gets the default verdict.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
@@ -74,20 +77,38 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.array_append(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z0-9]+"), F.lit("")))
 
 
-def index_rules(spark: SparkSession, addresses: DataFrame, rules: Sequence[UrlRule]) -> DataFrame:
-    """One row per rule: its index token and its rank. ``addresses`` has the column ``_tokens``.
+def index_rules(addresses: DataFrame, rules: Sequence[UrlRule]) -> list[dict]:
+    """The rules in the order of their rank, each with its index token. ``addresses`` has ``_tokens``.
 
     The token counts that reach the driver are at most the tokens of the rule table.
     """
     literals = sorted({t for r in rules for t in r.tokens})
-    used = addresses.select(F.explode("_tokens").alias("token")).where(F.col("token").isin(literals))
-    seen = {r["token"]: r["n"] for r in used.groupBy("token").agg(F.count("*").alias("n")).collect()} if literals else {}
+    seen = {}
+    if literals:
+        used = addresses.select(F.explode(F.filter("_tokens", lambda t: t.isin(literals))).alias("token"))
+        seen = {r["token"]: r["n"] for r in used.groupBy("token").agg(F.count("*").alias("n")).collect()}
     ordered = sorted(rules, key=lambda r: (r.listed, len(r.name), r.name))
-    rows = [
-        (min(r.tokens, key=lambda t: (seen.get(t, 0), t), default=""), k, r.name, r.verdict, r.pattern, r.listed)
+    return [
+        {"rank": k, "token": min(r.tokens, key=lambda t: (seen.get(t, 0), t), default=""), **r._asdict()}
         for k, r in enumerate(ordered)
     ]
-    return spark.createDataFrame(rows, "token string, rank int, name string, verdict string, pattern string, listed boolean")
+
+
+def fetch(tokens: Column, index: Sequence[dict]) -> Column:
+    """(token, rank, pattern) of the rules under these tokens, from a constant table of slots.
+
+    A token's slot is its checksum; the table is as large as the rule table and part of the plan.
+    """
+    slots = [[] for _ in range(2 * len(index) + 1)]
+    for rule in index:
+        slots[zlib.crc32(rule["token"].encode()) % len(slots)].append({k: rule[k] for k in ("token", "rank", "pattern")})
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<token:string,rank:int,pattern:string>>>")
+
+    def under(token: Column) -> Column:
+        slot = F.get(table, F.pmod(F.crc32(token.cast("binary")), F.lit(len(slots))).cast("int"))
+        return F.filter(slot, lambda rule: rule["token"] == token)
+
+    return F.flatten(F.transform(tokens, under))
 
 
 def judge(
@@ -100,23 +121,19 @@ def judge(
     """One row per row of ``pages``: key, host, path, ``rule`` (listed), ``pattern``, ``verdict``."""
     host, path = host_and_path(F.col(url))
     parts = pages.select(F.col(key).alias("_key"), host.alias("_host"), path.alias("_path"))
-    numbered = parts.withColumn("_row", F.monotonically_increasing_id())  # below the explode, or it numbers tokens
-    addresses = numbered.withColumn("_tokens", url_tokens(F.col("_host"), F.col("_path")))
-    index = index_rules(pages.sparkSession, addresses, rules)
-    fetched = addresses.select(
-        "_row", "_key", "_host", "_path", F.explode("_tokens").alias("token")
-    )
-    fits = (fetched["token"] == index["token"]) & F.expr("rlike(concat(_host, _path), pattern)")
-    best = (
-        fetched.join(index.select("token", "rank", "pattern"), fits, "left")
-        .groupBy("_row", "_key", "_host", "_path")
-        .agg(F.max("rank").alias("rank"))
-    )
-    return best.join(index.drop("token", "pattern"), "rank", "left").select(
+    addresses = parts.withColumn("_tokens", url_tokens(F.col("_host"), F.col("_path")))
+    index = index_rules(addresses, rules)
+    text = F.concat("_host", "_path")
+    fits = F.filter(fetch(F.col("_tokens"), index), lambda rule: F.rlike(text, rule["pattern"]))
+    best = addresses.withColumn("_rank", F.array_max(F.transform(fits, lambda rule: rule["rank"])))
+    facts = [{k: rule[k] for k in ("name", "verdict", "listed")} for rule in index]
+    ranked = F.from_json(F.lit(json.dumps(facts)), "array<struct<name:string,verdict:string,listed:boolean>>")
+    judged = best.withColumn("_rule", F.get(ranked, F.col("_rank")))
+    return judged.select(
         F.col("_key").alias(key),
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
-        F.when(F.col("listed"), F.col("name")).alias("rule"),
-        F.when(~F.col("listed"), F.col("name")).alias("pattern"),
-        F.coalesce("verdict", F.lit(default)).alias("verdict"),
+        F.when(F.col("_rule.listed"), F.col("_rule.name")).alias("rule"),
+        F.when(~F.col("_rule.listed"), F.col("_rule.name")).alias("pattern"),
+        F.coalesce("_rule.verdict", F.lit(default)).alias("verdict"),
     )

@@ -102,7 +102,15 @@ def i9(spark, sf_dir):
     return head.score(df).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-@query("i9_dummy_stratified")
+@query(
+    "i9_dummy_stratified",
+    f"""{SCORED}, n AS (SELECT k, c, (SELECT count(*) FROM sc WHERE label = c) / (SELECT count(*) FROM sc)::DOUBLE AS share
+      FROM (SELECT unnest({S.LABELS!r}) AS c, unnest(range({len(S.LABELS)})) AS k)),
+    b AS (SELECT c, coalesce(sum(share) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low,
+      sum(share) OVER (ORDER BY k) AS high FROM n),
+    u AS (SELECT packet_id, label, CAST('0x' || substr(md5('{S.SEED}|' || packet_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS unit FROM sc)
+    SELECT packet_id, label, c AS prediction FROM u JOIN b ON unit >= low AND unit < high""",
+)
 def i9_stratified(spark, sf_dir):
     df = scored(spark, sf_dir)
     return C.fit_dummy(df, "label", S.LABELS, "stratified", "packet_id").score(df).select("packet_id", "label", "prediction")

@@ -210,3 +210,40 @@ def test_forbidden_columns():
 def test_identifier_words():
     names = ["src_ip", "Dst Port", "http-host", "stripe", "l4_tcp", "support", "flow_id", "server"]
     assert L.identifier_columns(names) == ["src_ip", "Dst Port", "http-host", "server"]
+
+
+def test_one_configuration_is_its_part_of_all(spark):
+    """A row per head and policy is made where it is read; the stage table holds each alert once."""
+    heads = ["g", "h"]
+    cand = spark.createDataFrame(CAND, "canonical_key string, lfid string")
+    table = spark.createDataFrame([(f"f{i}", i / 10, 1 - i / 10) for i in range(1, 7)], "lfid string, g double, h double")
+    aligned = spark.createDataFrame(
+        [(1, "k1", S.UNIQUE_MATCH), (2, "k2", S.SAME_CAPTURE), (3, "k3", S.CONFLICTING), (4, "k4", S.SAME_CAPTURE), (5, None, S.INVALID_KEY), (1, "k1", S.UNIQUE_MATCH)],
+        "id long, canonical_key string, status string",
+    )
+    per_key = C.key_scores(cand, table, heads)
+    stage = C.scored_alerts(aligned, per_key, heads)
+    assert stage.count() == 6
+    every = C.alert_scores(aligned, per_key, heads)
+    assert every.count() == 6 * 2 * 2
+    for head in heads:
+        for policy in C.POLICIES:
+            one = C.one_configuration(stage, heads, head, policy)
+            assert one.columns == every.columns
+            rows = lambda df: sorted(map(str, df.collect()))
+            assert rows(one) == rows(every.where((F.col("head") == head) & (F.col("policy") == policy)))
+
+
+def test_the_stage_of_decisions_holds_each_alert_once(spark, monkeypatch):
+    from alertsift.plans import cascade_queries as CQ
+
+    wide = spark.createDataFrame(
+        [(f"p{i}", "benign", i % 2, "val" if i < 3 else "test", 1, 2, status, *[(0.5, "f")] * 4) for i, status in enumerate([S.UNIQUE_MATCH, S.CONFLICTING, S.SAME_CAPTURE, S.UNIQUE_MATCH])],
+        "packet_id string, label string, y_true int, split string, src_port long, dst_port long, status string, "
+        + ", ".join(f"_s_{h} struct<score: double, lfid: string>" for h in CQ.HEADS),
+    )
+    monkeypatch.setattr(CQ, "scored_alerts", lambda *_: wide)
+    stage = CQ.stage_decisions(spark, "nowhere")
+    assert stage.count() == 4 and stage.where(F.col(f"_s_{CQ.HEADS[0]}").isNull()).count() == 1
+    test, winner = CQ.frozen(spark, "nowhere")
+    assert [r.packet_id for r in test.collect()] == ["p3"] and winner["feasible"]

@@ -268,3 +268,38 @@ def test_parts_of_one_capture_must_agree(spark, tmp_path):
     (folder / "part-1.csv").write_text("b,a\n2,1\n")
     with pytest.raises(Exception, match="(?i)header"):
         A.scan_captures(spark, str(tmp_path)).collect()
+
+
+def _marked(df):
+    """``df`` behind a step that shows in every plan that builds it."""
+    return df.mapInPandas(lambda batches: batches, df.schema)
+
+
+def test_fallback_reads_the_flows_once(spark):
+    flows = spark.createDataFrame(
+        [("f1", 5, "a", "b", 1, 2, 6), ("f2", 3, "a", "b", 1, 2, 17), ("f3", 1, "a", "b", 1, 2, None), ("f4", 2, "c", "d", 1, 2, None)],
+        "lfid string, t long, src_ip string, dst_ip string, src_port long, dst_port long, protocol long",
+    )
+    packets = spark.createDataFrame(
+        [("a", "b", 1, 2, 1, 0), ("a", "b", 1, 2, 0, 1), ("b", "a", 2, 1, 0, 0), ("d", "c", 2, 1, 1, 0), ("x", "y", 1, 2, 1, 0)],
+        "src_ip string, dst_ip string, src_port long, dst_port long, l4_tcp int, l4_udp int",
+    )
+    out = M.match_with_fallback(packets, _marked(flows), ["t"])
+    got = {(r.src_ip, r.l4_tcp, r.l4_udp): (r.match_rank, r.matched_flow) for r in out.collect()}
+    assert got == {("a", 1, 0): (1, "f1"), ("a", 0, 1): (1, "f2"), ("b", 0, 0): (4, "f3"), ("d", 1, 0): (4, "f4"), ("x", 1, 0): (None, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_flow_integrity_builds_the_flows_once(spark):
+    from alertsift.operators import checks
+
+    rows = [("s", f"k{i % 3}", 10.0 * i, i, 2, 8, 100 + i, 5, 1.5, 0.5) for i in range(30)]
+    segments = spark.createDataFrame(rows, "f string, id string, ts double, no long, p long, q long, bytes long, dur long, mean double, dev double")
+    rules = FlowRules(sums=["bytes", "dur"], weighted={"mean": "p"}, pooled={"dev": ("mean", "p")})
+    out = checks.flow_integrity(_marked(segments), rules, ("f", "id"), 20.0, "no", "bytes", "mean", "dur", "dev")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.rule: r.violations for r in out.collect()} == dict.fromkeys(
+        ["segment_count", "unique_id", "single_key", "gap_within_cutoff", "single_segment_identity", "duration_total", "pooled_std_valid"], 0
+    )
+    # The raw totals; the segments with their clusters (two reads each) for gaps and for single segments.
+    assert plan.count("MapInPandas") == 5

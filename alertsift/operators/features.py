@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +104,39 @@ def service_aligned(cols: Mapping[str, str] = CAPTURE_COLUMNS, label: str = "lab
     )
 
 
+def _count_back(own: Sequence[str], windows: Sequence[int], span: int):
+    """Adds up the rows before each second in its windows; input in order of pair, chunk and time.
+
+    ``_at`` is the time from the start of the chunk's history. Of the last chunk of a batch only the entries within
+    the longest window are carried on.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried_at, carried_n = None, np.empty(0), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in (*own, "_chunk")]
+            starts = np.zeros(batch.num_rows, bool)
+            for key in keys:
+                starts[1:] |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+            at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_at", "_n"))
+            held = len(carried_at) if [k[0] for k in keys] == last else 0
+            group = np.concatenate([np.zeros(held, np.int64), np.cumsum(starts)])
+            at, n = np.concatenate([carried_at[:held].astype(at.dtype), at]), np.concatenate([carried_n[:held], n])
+            place = group * span + at  # grows over the batch, and no window reaches into another chunk
+            total = np.concatenate([[0], np.cumsum(n)])
+            before = [total[held:-1] - total[np.searchsorted(place, place[held:] - w)] for w in windows]
+            out = [*(batch.column(c) for c in (*own, "_ts", "_n")), *map(pa.array, before)]
+            names = [*own, "_ts", "_n", *(f"_before{k}" for k in range(len(windows)))]
+            yield pa.RecordBatch.from_arrays(out, names).filter(batch.column("_home"))
+            last = [k[-1] for k in keys]
+            near = (group == group[-1]) & (at >= at[-1] - max(windows))
+            carried_at, carried_n = at[near], n[near]
+
+    return count
+
+
 def attempts_same_target(
     df: DataFrame,
     windows: Mapping[str, int],
@@ -116,27 +152,33 @@ def attempts_same_target(
     ``windows`` maps output names to seconds; ``ts`` is in whole seconds. Rows of equal time
     count in the order of ``tie``. Counting works on (pair, second) totals cut into chunks
     (of a day, or the longest window) with one window of history, so a pair with a third of all rows has at most
-    that many entries per task.
+    that many entries per task. A count is the difference of two running totals, at the row and at the
+    start of its window, so the work does not grow with the entries in a window.
     """
     pair = list(pair)
     longest = max(windows.values())
     chunk = max(chunk, longest)
-    seconds = df.groupBy(*[_q(p) for p in pair], _q(ts)).agg(F.count("*").alias("_n"))
+    known = df.dropna("any", subset=[*pair, ts])
+    seconds = known.groupBy(*[_q(p) for p in pair], _q(ts)).agg(F.count("*").alias("_n"))
     home = F.floor(_q(ts) / chunk)
     late = _q(ts) - home * chunk >= chunk - longest
     copies = F.array_compact(F.array(F.struct(home.alias("_chunk"), F.lit(True).alias("_home")),
                                      F.when(late, F.struct((home + 1).alias("_chunk"), F.lit(False).alias("_home")))))
-    placed = seconds.select("*", F.inline(copies))
-    order = Window.partitionBy(*[_q(p) for p in pair], "_chunk").orderBy(_q(ts))
-    before = {
-        f"_before_{name}": F.coalesce(F.sum("_n").over(order.rangeBetween(-w, -1)), F.lit(0)) for name, w in windows.items()
-    }
-    history = placed.withColumns(before).where("_home").drop("_chunk", "_home")
+    own = [f"_own{i}" for i in range(len(pair))]
+    placed = seconds.select(
+        *[_q(p).alias(o) for p, o in zip(pair, own, strict=True)], _q(ts).alias("_ts"), "_n", F.inline(copies)
+    ).withColumn("_at", F.col("_ts") - F.col("_chunk") * chunk + longest)
+    names = [f"_before_{name}" for name in windows]
+    kept = placed.schema[: len(own) + 2]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{n} long" for n in names])
+    dealt = placed.repartition(*own, "_chunk").sortWithinPartitions(*own, "_chunk", "_ts")
+    counted = dealt.mapInArrow(_count_back(own, list(windows.values()), chunk + 2 * longest + 1), schema)
+    history = counted.toDF(*pair, ts, "_n", *names)
     joined = materialise(df.join(history, [*pair, ts], "left"))  # read once for crowded seconds, once for the others
     crowded, alone = joined.where("_n > 1"), joined.where("_n = 1 OR _n IS NULL").withColumn("_rank", F.lit(1).cast("long"))
     ranked = alone if crowded.isEmpty() else number_rows(crowded, [*pair, ts], [tie], "_rank").unionByName(alone)
     return ranked.withColumns({name: F.col(f"_before_{name}") + F.col("_rank") for name in windows}).drop(
-        "_n", "_rank", *before
+        "_n", "_rank", *names
     )
 
 

@@ -235,6 +235,27 @@ def test_attempts_count_earlier_or_self(spark):
     assert [r.n60 for r in out] == [1, 2, 3, 3, 2, 1, 1, 2, 1]
 
 
+def test_attempts_by_running_totals(spark, monkeypatch):
+    """Frames that slide are summed anew for every row, so a busy pair would cost the square of its rows."""
+    times = [(i * i * 7919) % 500 - 120 for i in range(300)]
+    rows = [("a", "b" if i % 3 else "c", t, i) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "src string, dst string, ts long, i long")
+    seen = []
+    monkeypatch.setattr(X, "materialise", lambda d: seen.append(d) or d.localCheckpoint())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "7")  # windows reach over batches
+        out = X.attempts_same_target(df, {"near": 9, "far": 100}, ["src", "dst"], "ts", "i", chunk=100).collect()
+    finally:
+        spark.conf.set(key, old)
+    assert len(out) == len(rows)
+    for r in out:
+        mine = [(t, i) for _, d, t, i in rows if d == r.dst and (t, i) <= (r.ts, r.i)]
+        assert [r.near, r.far] == [sum(t >= r.ts - w for t, _ in mine) for w in (9, 100)]
+    assert "RangeFrame" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_equal_rows_get_distinct_keys(spark):
     df = spark.createDataFrame([("x", 1.0)] * 5 + [("y", None)], "a string, b double")
     keys = [r[0] for r in A.with_row_key(df).select("packet_key").collect()]

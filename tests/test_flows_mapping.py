@@ -205,6 +205,28 @@ def test_statuses(spark):
     assert [r.matched_lfid for r in rows] == [None, "f1", None, None, None, None]
 
 
+def test_packets_without_a_key_are_spread(spark):
+    """A join sends all null keys to one task, where a third of the packets may have none."""
+    index = M.candidate_index(candidates(spark))
+    packets = spark.range(4000, numPartitions=2).selectExpr(
+        "CAST(null AS string) AS src_ip", "id AS src_port", "'2' AS dst_ip", "2L AS dst_port", "1 AS l4_tcp", "0 AS l4_udp"
+    )
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = M.classify_packets(packets, index)
+        tasks = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert out.columns[0] == M.KEY and "_at" not in out.columns
+        assert {r.status for r in out.select("status").distinct().collect()} == {S.INVALID_KEY}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in tasks) == 4000 and len(tasks) == 8
+    assert max(r["count"] for r in tasks) < 1000
+
+
 def test_fallback_priority(spark):
     flows = spark.createDataFrame(
         [("five", "a", "b", 1, 80, 6, 5), ("four", "a", "b", 1, 80, 17, 1), ("rev", "b", "a", 80, 2, 6, 0), ("any", "c", "d", 1, 2, None, 0)],

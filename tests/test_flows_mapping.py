@@ -346,3 +346,24 @@ def test_flow_integrity_builds_the_flows_once(spark):
     )
     # The raw totals; the segments with their clusters (two reads each) for gaps and for single segments.
     assert plan.count("MapInPandas") == 5
+
+
+def test_flows_are_shuffled_once_by_key(spark, monkeypatch):
+    """Rows go to their key in one exchange; a crowded key takes the combined way, with the same flows."""
+    df = spark.range(3000).select(
+        F.concat(F.lit("f"), (F.col("id") % 4 % 2).cast("string")).alias("source_file"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 > 0, F.concat(F.lit("k"), (F.col("id") % 300).cast("string"))).alias("flow"),
+        F.when(F.col("id") % 40 > 0, (F.col("id") * 7919) % 900_000).alias("ts"), F.col("id").alias("tie"), F.lit("x").alias("ip"),
+        F.when(F.col("id") % 5 > 0, F.col("id")).alias("win"), (F.col("id") % 9).alias("n"), F.lit(1).cast("long").alias("gap"),
+        F.lit(1.0).alias("hi"), F.lit(2.0).alias("lo"), (F.col("id") % 17).cast("double").alias("mean"), F.lit(3.0).alias("std"), (F.col("id") % 6).alias("dur"),
+    )
+    keys = ("source_file", "flow")
+    timed = FL.build_unified_flows(df.where("ts IS NOT NULL"), RULES, keys, "ts", 300, "tie")
+    assert timed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert FL._crowded_cells(df, keys, "ts") == ([], 75)
+    plain = sorted(map(repr, FL.build_unified_flows(df, RULES, keys, "ts", 300, "tie").collect()))
+    monkeypatch.setattr(FL, "CROWD", 400)
+    monkeypatch.setattr(FL, "_CELLS", 4096)
+    assert len(FL._crowded_cells(df, keys, "ts")[0]) == 2
+    assert sorted(map(repr, FL.build_unified_flows(df, RULES, keys, "ts", 300, "tie").collect())) == plain
+    assert len(plain) > 1000

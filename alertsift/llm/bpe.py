@@ -178,7 +178,7 @@ class Encoder:
         self._start(vocabulary.special)
 
     def _start(self, special: dict[str, int]) -> None:
-        self.special_ids = special
+        self.special_ids, self.stretch = special, STRETCH
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
         names = sorted(special, key=len, reverse=True)
@@ -241,7 +241,7 @@ class Encoder:
         """Cuts at a blank or line feed, so no chunk is cut."""
         at = 0
         while at < len(text):
-            stop = at + STRETCH
+            stop = at + self.stretch
             if stop < len(text):
                 ends = [p for p in (text.find(" ", stop), text.find("\n", stop)) if p >= 0]
                 stop = min(ends, default=len(text))
@@ -258,10 +258,10 @@ class Encoder:
         size = 0
         for text in texts:
             text = text or ""
-            if window and size + len(text) > STRETCH:
+            if window and size + len(text) > self.stretch:
                 yield from self._encode_known(window)
                 window, size = [], 0
-            if len(text) > STRETCH:
+            if len(text) > self.stretch:
                 yield self.encode(text)
             else:
                 window.append(text)

@@ -18,11 +18,14 @@ are packed each; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
-from itertools import chain
+from collections import deque
+from collections.abc import Callable, Iterator, Mapping
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +35,54 @@ from .common import small_batches, staged
 
 LENGTH, WINDOW = 4096, 64 * 4096
 TOGETHER = 200  # words that go to the library as one text
+STRETCH = 4 << 20  # characters looked up at a time
+
+
+class Known:
+    """Texts met before, up to a bound, and their ids in arrays: text ``k`` has ``sizes[k]`` of them."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.places, self.sizes, self.ids = {"": 0}, np.zeros(1, np.int64), np.empty(0, "<u4")
+
+    def find(self, asked: pa.Array, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of every asked text, sizes and ids of all places); ``learn`` gives sizes and ids of new texts."""
+        if len(self.places) > self.limit:  # those met first stay: common texts are met early
+            half = max(1, self.limit // 2)
+            self.places, self.sizes = dict(islice(self.places.items(), half)), self.sizes[:half].copy()
+            self.ids = self.ids[: int(self.sizes.sum())].copy()
+        met = asked.dictionary_encode()
+        texts = met.dictionary.to_numpy(zero_copy_only=False)
+        places = np.fromiter(map(self.places.get, texts, repeat(-1)), np.int64, len(texts))
+        sizes, ids = self.sizes, self.ids
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            short = np.fromiter(map(len, texts[unknown]), np.int64, len(unknown)) <= bpe.LONGEST_CACHED
+            unknown = np.concatenate([unknown[short], unknown[~short]])
+            new, kept = texts[unknown].tolist(), int(short.sum())
+            places[unknown] = len(sizes) + np.arange(len(new))
+            own, learnt = learn(new)
+            sizes, ids = np.concatenate([sizes, own]), np.concatenate([ids, learnt])
+            # Long texts are forgotten at once.
+            self.places.update(zip(new[:kept], range(len(self.sizes), len(self.sizes) + kept)))
+            self.sizes, self.ids = sizes[: len(self.sizes) + kept], ids[: len(self.ids) + int(own[:kept].sum())]
+        return places[met.indices.to_numpy()], sizes, ids
+
+
+def _spelt(places: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids) of the texts at ``places``, one after the other."""
+    own = sizes[places]
+    ends = np.cumsum(own)
+    shift = (np.cumsum(sizes) - sizes)[places] - (ends - own)
+    return own, ids[np.repeat(shift, own) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class LibraryEncoder(bpe.Encoder):
     """Encodes new words by the tokenizers library instead of the pair checks.
 
     The words of a batch go to the library as one text. The vocabulary marks the end of every
-    word in its last token, which tells the words' ids apart again.
+    word in its last token, which tells the words' ids apart again. Chunks are split and looked up
+    in arrays; only those that are new and no plain words are taken apart one by one.
     """
 
     def __init__(self, file: str):
@@ -57,15 +101,48 @@ class LibraryEncoder(bpe.Encoder):
         self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(mark) or t in special]] = True
         self._start(special)
 
-    def _code(self, new: list[str]) -> tuple[bytes, list[int]]:
+    def _start(self, special: dict[str, int]) -> None:
+        super()._start(special)
+        self.stretch = STRETCH
+        self.words, self.chunks = Known(bpe.CACHED_WORDS), Known(bpe.CACHED_CHUNKS)
+
+    def _encode_known(self, texts: list[str]) -> list[bytes]:
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        sizes, ids = _spelt(*self.chunks.find(split.flatten(), self._learn))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of new chunks; their new words are encoded together."""
+        chunks = pa.array(new, pa.string())
+        low = pc.ascii_lower(chunks)
+        body, last = pc.utf8_slice_codeunits(low, 0, -1), pc.utf8_slice_codeunits(low, -1)
+        alone = pc.ascii_is_alpha(low)
+        ended = pc.and_(pc.ascii_is_alpha(body), pc.is_in(last, value_set=pa.array(list(".,;:!?"))))
+        rest = pc.invert(pc.or_(alone, ended))
+        parts = [self._words_of(c) for c in chunks.filter(rest).to_pylist()]
+        single, double, odd = (np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in (alone, ended, rest))
+        count = np.ones(len(chunks), np.int64)
+        count[double], count[odd] = 2, [len(p) for p in parts]
+        first = np.cumsum(count) - count
+        words = [low.filter(alone), body.filter(ended), last.filter(ended), pa.array(list(chain.from_iterable(parts)), pa.string())]
+        inner = np.repeat(first[odd] - np.cumsum(count[odd]) + count[odd], count[odd]) + np.arange(len(words[3]))
+        places, sizes, ids = self.words.find(pa.concat_arrays(words), self._code)
+        ordered = np.empty_like(places)
+        ordered[np.concatenate([first[single], first[double], first[double] + 1, inner])] = places
+        sizes, ids = _spelt(ordered, sizes, ids)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ends[first + count] - ends[first], ids
+
+    def _code(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [w[1:] if w[0] == "\0" and w[1:] in self.special_ids else w for w in new]
         texts = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in coded), "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(new):
+        if len(ends) != len(words):
             raise ValueError("the vocabulary does not mark the ends of words")
-        return ids.tobytes(), (4 * ends).tolist()
+        return np.diff(ends, prepend=0), ids
 
 
 _MADE: dict[str, LibraryEncoder] = {}
@@ -83,8 +160,18 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             _MADE.clear()
             _MADE[name] = LibraryEncoder(file)
         encoder, end = _MADE[name], np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [np.frombuffer(b + end, "<u4") for b in encoder.encode_many(batch["text"])]
+        waiting: deque[pd.DataFrame] = deque()
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                if len(batch):
+                    waiting.append(batch)
+                    yield from batch["text"]
+
+        coded = encoder.encode_many(texts())  # a stretch spans batches
+        while first := list(islice(coded, 1)):
+            batch = waiting.popleft()
+            ids = [np.frombuffer(b + end, "<u4") for b in chain(first, islice(coded, len(batch) - 1))]
             yield pd.DataFrame(
                 {
                     "_row": batch["_row"],

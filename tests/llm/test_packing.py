@@ -98,3 +98,43 @@ def test_library_encoder_equals_the_library():
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     for text, got in zip(texts, encoder.encode_many(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == REF.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def library_encoder():
+    with open(PATH, encoding="utf-8") as f:
+        return packing.LibraryEncoder(f.read())
+
+
+def test_plain_words_are_looked_up_together(monkeypatch):
+    """Only new chunks that are no plain words are taken apart one by one, and repeats of a stretch count once."""
+    taken = []
+    encoder = library_encoder()
+    monkeypatch.setattr(encoder, "_words_of", lambda chunk, own=encoder._words_of: taken.append(chunk) or own(chunk))
+    texts = ["Plain words, said twice. x-1 café\nPlain end", "words, x-1 <|im_end|> more!"] * 5
+    for text, got in zip(texts, encoder.encode_many(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == REF.encode(text, add_special_tokens=False).ids
+    assert sorted(set(taken)) == sorted(["x-1", "café", "<|im_end|>"]) and taken.count("x-1") == 1
+
+
+def test_full_tables_and_short_stretches(monkeypatch):
+    """Tables that overflow, long chunks that are forgotten and texts beyond a stretch change no id."""
+    from test_bpe import PIECES
+
+    monkeypatch.setattr("alertsift.llm.bpe.CACHED_WORDS", 5)
+    monkeypatch.setattr("alertsift.llm.bpe.CACHED_CHUNKS", 7)
+    monkeypatch.setattr(packing, "STRETCH", 40)
+    encoder = library_encoder()
+    texts = ["", None, "a" * 90 + " b", *[f"{p} w{k} {'long' * 12} {p}{k}, x\n\ny" for k, p in enumerate(PIECES * 3)], " ".join(PIECES * 4)]
+    for _ in range(2):
+        for text, got in zip(texts, encoder.encode_many(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == REF.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_stretches_span_batches(spark):
+    """Rows keep their own ids where one stretch takes many batches, and empty partitions give none."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows, df = docs(spark, 50)
+        check(rows, packing.pack(df, PATH, length=256, window=1024).collect(), 256)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

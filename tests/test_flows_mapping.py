@@ -5,11 +5,13 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from alertsift import schema as S
 from alertsift.functions import keys as K
 from alertsift.operators import features as X
 from alertsift.operators import flows as FL
 from alertsift.operators import mapping as M
+from alertsift.plans import views as V
 from alertsift.schema import FlowRules
 from alertsift.sources import captures as A
 
@@ -367,3 +369,20 @@ def test_flows_are_shuffled_once_by_key(spark, monkeypatch):
     assert len(FL._crowded_cells(df, keys, "ts")[0]) == 2
     assert sorted(map(repr, FL.build_unified_flows(df, RULES, keys, "ts", 300, "tie").collect())) == plain
     assert len(plain) > 1000
+
+
+def test_large_order_keys_keep_the_order_of_ties(spark, tmp_path):
+    """Order keys above 2^25: the number of a segment no longer fits a long."""
+    first = 54_000_000
+    rows = [
+        (first + 8 * (n // 2), part, 360_005, 1 + n % 2, 10.0, 1000.0 + n, 0.05, 0.02, "1995-03-01")
+        for n, part in enumerate((7_200_013, 7_200_001, 7_200_001, 7_200_013))
+    ]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, day string"
+    table = spark.createDataFrame(rows, names).withColumn("l_shipdate", F.to_timestamp_ntz("day")).drop("day")
+    table.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = queries()["f10_build_unified_flows"](spark, str(tmp_path)).collect()
+    assert [(r.SegmentCount, r.init_win, r.src_ip) for r in found] == [(4, 7_200_013 % 65536, "10.0.0.0")]
+    assert [tuple(r) for r in queries()["f9_aggregate_flows"](spark, str(tmp_path)).collect()] == [tuple(r) for r in found]
+    ties = [int(r[0]) for r in V.segments(spark, str(tmp_path)).select(V.TIE).collect()]
+    assert sorted(ties) == sorted(((k * 8 + line) * 1048576 + part) * 32768 + supp for k, part, supp, line, *_ in rows)

@@ -386,3 +386,22 @@ def test_large_order_keys_keep_the_order_of_ties(spark, tmp_path):
     assert [tuple(r) for r in queries()["f9_aggregate_flows"](spark, str(tmp_path)).collect()] == [tuple(r) for r in found]
     ties = [int(r[0]) for r in V.segments(spark, str(tmp_path)).select(V.TIE).collect()]
     assert sorted(ties) == sorted(((k * 8 + line) * 1048576 + part) * 32768 + supp for k, part, supp, line, *_ in rows)
+
+
+def test_clusters_need_one_exchange_and_a_crowded_key_changes_none(spark, monkeypatch):
+    df = spark.range(3000).select(
+        (F.col("id") % 2).cast("string").alias("source_file"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 > 0, F.concat(F.lit("k"), (F.col("id") % 300).cast("string"))).alias("flow"),
+        F.when(F.col("id") % 40 > 0, F.floor(F.col("id") * 7919 / 3) % 900_000).alias("ts"), F.col("id").alias("tie"),
+    )
+    keys = ("source_file", "flow")
+    rules = FlowRules(sums=["tie"])
+    timed = FL.aggregate_flows(FL.assign_logical_flow(df.where("ts IS NOT NULL"), keys, "ts", 300, "tie"), [*keys, "cluster"], rules, "ts", "tie")
+    assert timed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    ways = [FL.assign_logical_flow(df, keys, "ts", 300, "tie", by_bucket=way) for way in (False, True)]
+    monkeypatch.setattr(FL, "CROWD", 400)
+    monkeypatch.setattr(FL, "_CELLS", 4096)
+    assert len(FL._crowded_cells(df, keys, "ts")[0]) == 2
+    ways.append(FL.assign_logical_flow(df, keys, "ts", 300, "tie"))
+    plain, *others = (sorted(map(repr, way.collect())) for way in ways)
+    assert len(plain) == 3000 and others == [plain, plain]
